@@ -7,7 +7,7 @@ documents hold keep their log-odds; all others share one small negative weight,
 of the rest of the mass. A random clean token then has a negative expected weight.
 
 Search. A linear scan (Ruzzo and Tompa) finds all maximal-scoring segments of a whole text.
-Runs of tokens of the common weight are taken as one step.
+Runs of tokens of the common weight are taken as one step; immediate repeats count once.
 
 Calibration. The greatest segment score S of a clean text of n tokens follows an
 extreme-value law P(S < x) = exp(-E), E = K n e^(-L x). L solves sum p(w) e^(L s(w)) = 1 over
@@ -42,8 +42,10 @@ from .sampling import labelled_sample, sampled_texts
 #: Bound on the labelled rows to fit on, half of it for either class.
 FIT_ROWS = 24_000
 PRIOR, FLOOR = 500.0, 0.5
-Z_MIN, MIN_DOCS = 3.5, 4
-#: Bound on the tokens with a weight of their own (those of the largest |z|).
+Z_MIN, MIN_ODDS, MIN_DOCS = 3.5, 1.5, 4
+#: Letters of a token that may stand for it, the most first.
+STEMS = (6, 5, 4)
+#: Bound on the tokens and stems with a weight of their own (those of the largest |z|).
 MAX_TOKENS = 50_000
 #: Expected number of chance segments up to which a segment is significant.
 E_MAX = 0.01
@@ -55,9 +57,29 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
+class Weights(dict):
+    """Weights of tokens, looked up by token or stem once for each token; None: the common one."""
+
+    MEMO = 1 << 19
+
+    def __init__(self, known: dict[str, float]) -> None:
+        super().__init__()
+        self.known = known
+
+    def __reduce__(self):
+        return Weights, (self.known,)
+
+    def __missing__(self, token: str) -> float | None:
+        if len(self) >= self.MEMO:
+            self.clear()
+        stems = (f"{token[:n]}*" for n in STEMS if len(token) > n)
+        self[token] = out = next((self.known[k] for k in (token, *stems) if k in self.known), None)
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    weights: Weights
     other: float
     lam: float
     k: float
@@ -96,9 +118,14 @@ def segments(steps: list[tuple[int, int, float]]) -> list[tuple[int, int, float]
 
 
 def weighted_steps(words: list[str], model: Model) -> list[tuple[int, int, float]]:
-    """(start, end, weight): one step for each token with a weight, one for each run between."""
-    get, out, last = model.weights.get, [], 0
-    for i, w in [(i, w) for i, w in enumerate(map(get, words)) if w is not None]:
+    """(start, end, weight): one step for each token with a weight, one for each run between.
+
+    A token that repeats the one before it tells nothing new and has the common weight.
+    """
+    out, last = [], 0
+    for i, w in [(i, w) for i, w in enumerate(map(model.weights.__getitem__, words)) if w is not None]:
+        if i and words[i] == words[i - 1]:
+            continue
         if i > last:
             out.append((last, i, (i - last) * model.other))
         out.append((i, i + 1, w))
@@ -127,16 +154,25 @@ def score(text: str | None, model: Model) -> float:
     return 1 / (1 + math.exp(-max(-35.0, min(35.0, model.bias - model.slope * e))))
 
 
+def _keys(token: str) -> list[str]:
+    return [token, *(f"{token[:n]}*" for n in STEMS if len(token) > n)]
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n, docs = (Counter(), Counter()), Counter()
     for b in batches:
         for text, y in zip(b["text"], b["y"], strict=True):
             words = tokens(text)
             n[int(y)].update(words)
-            docs.update(set(words))
+            docs.update({k for w in set(words) for k in _keys(w)})
+    total = Counter(), Counter()
+    for y in (0, 1):
+        for w, c in n[y].items():
+            for k in _keys(w):
+                total[y][k] += c
     keys = list(docs)
     if keys:
-        yield pd.DataFrame({"token": keys, "n0": [n[0][k] for k in keys], "n1": [n[1][k] for k in keys], "d": [docs[k] for k in keys]})
+        yield pd.DataFrame({"token": keys, "n0": [total[0][k] for k in keys], "n1": [total[1][k] for k in keys], "d": [docs[k] for k in keys]})
 
 
 def _solve(weights: np.ndarray, mass: np.ndarray) -> float:
@@ -156,7 +192,7 @@ def _solve(weights: np.ndarray, mass: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model:
     sample, sizes = labelled_sample(labels, label, learn, FIT_ROWS)
     if not (sizes.get(0) and sizes.get(1)):
-        return Model({}, -1.0, 1.0, 1.0)
+        return Model(Weights({}), -1.0, 1.0, 1.0)
     texts = written(sampled_texts(docs, sample), "toxicity_sample")
     calibrates = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(4)) == 0
     counts = (
@@ -165,27 +201,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model:
         .groupBy("token")
         .agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d")))
     )
-    t0, t1 = (x or 0 for x in counts.agg(F.sum("n0"), F.sum("n1")).first())
+    t0, t1 = (x or 0 for x in counts.filter("token not like '%*'").agg(F.sum("n0"), F.sum("n1")).first())
     if not (t0 and t1):
-        return Model({}, -1.0, 1.0, 1.0)
+        return Model(Weights({}), -1.0, 1.0, 1.0)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / F.lit(float(t0 + t1)) + F.lit(FLOOR)
     a1, a0 = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(a1 / (t1 + PRIOR + FLOOR - a1)) - F.log(a0 / (t0 + PRIOR + FLOOR - a0))
     kept = (
         counts.filter(F.col("d") >= MIN_DOCS)
         .select("token", "n0", "n1", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-        .filter(F.abs("z") >= Z_MIN)
+        .filter((F.abs("z") >= Z_MIN) & (F.abs("odds") >= MIN_ODDS))
         .orderBy(F.abs("z").desc(), "token")
         .limit(MAX_TOKENS)
         .collect()
     )
     weights = {r["token"]: r["odds"] for r in kept}
-    rest0 = 1 - sum(r["n0"] for r in kept) / t0
-    rest1 = 1 - sum(r["n1"] for r in kept) / t1
+    # A stem's mass holds that of its tokens with weights of their own; stems first, the shortest first.
+    mass0, mass1 = ({r["token"]: r[c] / t for r in kept} for c, t in (("n0", t0), ("n1", t1)))
+    for k in sorted(weights, key=lambda k: (k.endswith("*"), len(k)), reverse=True):
+        above = next((a for a in _keys(k.rstrip("*"))[1:] if a != k and a in weights and len(a) < len(k) + (not k.endswith("*"))), None)
+        if above:
+            mass0[above], mass1[above] = max(0, mass0[above] - mass0[k]), max(0, mass1[above] - mass1[k])
+    rest0, rest1 = 1 - sum(mass0.values()), 1 - sum(mass1.values())
     other = min(-1e-3, math.log(max(rest1, 1e-9) / max(rest0, 1e-9)))
-    mass = np.array([rest0, *((r["n0"] + 0.5) / t0 for r in kept)])
+    mass = np.array([rest0, *(mass0[k] + 0.5 / t0 for k in weights)])
     lam = _solve(np.array([other, *weights.values()]), mass / mass.sum())
-    draft = Model(weights, other, lam, 1.0)
+    draft = Model(Weights(weights), other, lam, 1.0)
 
     def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -200,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model:
     natural = {y: sizes[y] / max(1, (held["y"] == y).sum()) for y in (0, 1)}
     found = held[np.isfinite(held["e"])]
     bias, slope = _logistic(found["e"].to_numpy() + math.log(k), found["y"].to_numpy(), found["y"].map(natural).to_numpy(float))
-    return Model(weights, other, lam, k, bias, slope)
+    return Model(Weights(weights), other, lam, k, bias, slope)
 
 
 def _logistic(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
