@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without_ids, written
 
 WINDOW, LITERALS, SHORTEST = 8, 4, 5
 COVERAGE, RUN = 0.6, 13
@@ -232,4 +232,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without_ids(docs, leaks(docs, benchmark))

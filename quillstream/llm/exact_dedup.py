@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without_ids, written
 
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
 SLOTS_PER_ROW = 8
@@ -100,6 +100,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return alone.unionAll(grouped)
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts the one with the smallest id."""
+    return without_ids(docs, exact_dedup(docs).filter("not kept"))
+
+
 ORACLE = r"""
 WITH h AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

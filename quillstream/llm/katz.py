@@ -218,6 +218,8 @@ def _answer(block=None, bucket=0, a=None, b=None, c=None, d=None, stat=None, hot
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its entries, in order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     owners, starts = np.unique(bucket[order], return_index=True)
     for k, rows in zip(owners, np.split(order, starts[1:]), strict=True):

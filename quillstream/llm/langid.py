@@ -44,15 +44,14 @@ _SPACES = re.compile(r"[\W\d_]+")
 def presence(text: str) -> np.ndarray:
     """DIMENSIONS flags: hashed character n-grams of the letters, with one space between words."""
     out = np.zeros(DIMENSIONS, bool)
-    for at in range(0, len(text), 1 << 20):  # windows overlap by the longest n-gram
-        part = " " + _SPACES.sub(" ", text[at : at + (1 << 20) + max(ORDERS)].lower()) + " "
-        c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = np.zeros(len(c), np.uint32)
-        for n in range(1, max(ORDERS) + 1):
-            h = (h[: len(c) - n + 1] * np.uint32(0x01000193)) ^ (c[n - 1 :] * np.uint32(0x9E3779B1))
-            if n in ORDERS:
-                mixed = h ^ (h >> np.uint32(15))
-                out[(mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)] = True
+    part = " " + _SPACES.sub(" ", text.lower()).strip() + " "
+    c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(len(c), np.uint32)
+    for n in range(1, max(ORDERS) + 1):
+        h = (h[: len(c) - n + 1] * np.uint32(0x01000193)) ^ (c[n - 1 :] * np.uint32(0x9E3779B1))
+        if n in ORDERS:
+            mixed = h ^ (h >> np.uint32(15))
+            out[(mixed * np.uint32(0x85EBCA6B)) >> np.uint32(32 - DIMENSIONS.bit_length() + 1)] = True
     return out
 
 
@@ -92,7 +91,7 @@ class Kernel:
         self.langs = sorted({r["lang"] for r in rows})
         each = max(1, LANDMARKS // max(1, len(self.langs)))
         marks = [b for k in self.langs for b in [r["bits"] for r in rows if r["lang"] == k][:each]]
-        self.bits = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)
+        self.bits = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), DIMENSIONS // 8)
         self.load()
         if not marks:
             self.weights = np.zeros((0, 0))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import without_ids, written
 from .components import connected_components
 
 #: The contract's parameters: words in a shingle, hash seed, differing bits.
@@ -208,3 +208,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def near_deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
+    return without_ids(docs, near_duplicates(docs).filter("doc_id <> component_id"))

@@ -274,6 +274,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", pa
     return inputs.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    model = fit(docs, labels, label, fold(F.col("doc_id"), parts) != held)
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        return pd.Series([score(t, model) >= 0.5 for t in texts], dtype=bool)
+
+    return docs.filter(~toxic(F.col("text").cast("string")))
+
+
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, first_token, end_token, score, expected: every significant passage of every text."""
 
