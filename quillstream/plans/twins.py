@@ -51,11 +51,14 @@ blocks AS (
 )
 
 CELLS = """
+cell_rows AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) AS line
+  FROM lineitem),
 cells AS (
-  SELECT l_orderkey AS table_id, CAST(l_linenumber + 1 AS INTEGER) AS row_no, col_no, 'td' AS tag,
+  SELECT l_orderkey AS table_id, CAST(line + 1 AS INTEGER) AS row_no, col_no, 'td' AS tag,
          CASE col_no WHEN 1 THEN 'part ' || l_partkey WHEN 2 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)
                      WHEN 3 THEN CAST(CAST(l_extendedprice AS DECIMAL(14,2)) AS VARCHAR) ELSE l_returnflag END AS text
-  FROM lineitem, (SELECT unnest([1, 2, 3, 4]) AS col_no)
+  FROM cell_rows, (SELECT unnest([1, 2, 3, 4]) AS col_no)
   UNION ALL
   SELECT l_orderkey, 1, col_no, 'th', ['part', 'quantity', 'price', 'flag'][col_no]
   FROM (SELECT DISTINCT l_orderkey FROM lineitem), (SELECT unnest([1, 2, 3, 4]) AS col_no))

@@ -77,9 +77,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Row 1 names the columns.
     """
     items = read_table(spark, sf_dir, "lineitem")
-    body = items.select(
+    line = F.expr(
+        "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag)"
+    )
+    body = items.withColumn("line", line).select(
         F.col("l_orderkey").alias("table_id"),
-        (F.col("l_linenumber") + 1).cast("int").alias("row_no"),
+        (F.col("line") + 1).cast("int").alias("row_no"),
         F.posexplode(
             F.array(
                 F.concat(F.lit("part "), F.col("l_partkey")),
@@ -103,11 +106,12 @@ def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (F.col("page_id") % 20 + 1).cast("int")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     title = F.substring(F.regexp_extract("html", "<title>([^<]*)</title>", 1), 1, 60)
+    row = lambda kind, text, y1, y2: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(y1).alias("y1"), F.lit(y2).alias("y2"))
     rows = F.array(
-        F.struct(F.lit("header").alias("type"), host.alias("text"), F.lit(20).alias("y1"), F.lit(80).alias("y2")),
-        F.struct(F.lit("page_number"), page.cast("string"), F.lit(930), F.lit(970)),
-        F.struct(F.lit("header"), title, F.lit(300), F.lit(340)),
-        F.struct(F.lit("footer"), F.concat(F.lit("Copyright "), host), F.lit(910), F.lit(990)),
+        row("header", host, 20, 80),
+        row("page_number", page.cast("string"), 930, 970),
+        row("header", title, 300, 340),
+        row("footer", F.concat(F.lit("Copyright "), host), 910, 990),
     )
     flat = pages.select("page_id", page.alias("page"), F.explode(rows).alias("f")).select("page_id", "page", "f.*")
     return flat.withColumn("margin", (F.col("y2") <= 100) | (F.col("y1") >= 900))
