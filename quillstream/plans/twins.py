@@ -79,7 +79,7 @@ furniture AS (SELECT *, y2 <= 100 OR y1 >= 900 AS margin FROM furniture_flat)
 
 UNITS = """
 units AS (
-  SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS unit_id, l_orderkey AS parent_id, 'cell' AS kind,
+  SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || CAST(round(l_extendedprice * 100) AS BIGINT) AS unit_id, l_orderkey AS parent_id, 'cell' AS kind,
          'chapter ' || (l_suppkey % 10) AS chapter, CAST(l_partkey % 50 + 1 AS INTEGER) AS page,
          'Part ' || l_partkey || ' from supplier ' || l_suppkey AS source, '零件 ' || l_partkey AS translated,
          list_filter([CASE WHEN l_returnflag = 'R' THEN '数字可能发生变化' END,

@@ -132,7 +132,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return items.select(
-        F.concat(F.col("l_orderkey"), F.lit(":"), F.col("l_linenumber"), F.lit(":"), F.col("l_partkey")).alias("unit_id"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("unit_id"),
         F.col("l_orderkey").alias("parent_id"),
         F.lit("cell").alias("kind"),
         F.concat(F.lit("chapter "), F.col("l_suppkey") % 10).alias("chapter"),
