@@ -63,7 +63,8 @@ def glossary_store(spark: SparkSession, path: str) -> DataFrame:
 def usage_ledger(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """The usage ledger of JSON lines; a line that can't be read is a row marked incomplete."""
     reader = spark.readStream.option("maxFilesPerTrigger", 16) if stream else spark.read
-    rows = reader.schema(USAGE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = reader.text(path).filter(F.trim("value") != "").select(F.from_json("value", USAGE, options).alias("r")).select("r.*")
     return rows.select(
         "recorded_at",
         "phase",

@@ -37,33 +37,33 @@ def changes(events: DataFrame, task: str = "task", status: str = "status") -> Da
     )
 
 
-#: How long an upload address of a part holds, in milliseconds.
-EXPIRY_MS = 23 * 3600 * 1000
+#: How long an upload address of a part holds, in seconds.
+EXPIRY = 23 * 3600
 
 
 def part_states(events: DataFrame) -> DataFrame:
-    """part, state: every new state of a part; after 23 hours of processing time unused addresses expire.
+    """part, state: every new state of a part; an upload address that waits for 23 hours has expired.
 
-    events: part, state, at. A part whose submission has an unknown outcome stays so.
+    events: part, state, at (seconds). Expiry shows at the next event, so that a replay gives
+    the same states whenever it runs. A part whose submission has an unknown outcome stays so.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "new"
+        now, since = state.get if state.exists else ("new", 0)
         rows = []
-        if state.hasTimedOut:
-            if now == "waiting-file":
+        for s, at in pd.concat(list(batches)).sort_values("at")[["state", "at"]].itertuples(index=False):
+            if now in ("done", "failed", "submission_unknown"):
+                continue
+            if now == "waiting-file" and at - since > EXPIRY:
                 rows.append((key[0], "expired"))
-            state.remove()
-        else:
-            for s in pd.concat(list(batches)).sort_values("at")["state"]:
-                if now in ("done", "failed", "submission_unknown") or s == now:
-                    continue
-                now = s
+                now, since = "expired", int(at)
+            if s != now:
+                now, since = s, int(at)
                 rows.append((key[0], s))
-            state.update((now,))
-            state.setTimeoutDuration(EXPIRY_MS)
+        state.update((now, since))
         yield pd.DataFrame(rows, columns=["part", "state"], dtype=object)
 
-    return events.select(F.col("part").cast("string").alias("_part"), "state", "at").groupBy("_part").applyInPandasWithState(
-        step, "part string, state string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    keyed = events.select(F.col("part").cast("string").alias("_part"), "state", F.col("at").cast("long").alias("at"))
+    return keyed.groupBy("_part").applyInPandasWithState(
+        step, "part string, state string", "state string, since long", "append", GroupStateTimeout.NoTimeout
     )

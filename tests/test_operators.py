@@ -166,14 +166,14 @@ def test_ledger_stream_equals_its_batch_twin(spark, tmp_path):
 
 def test_stateful_streams(spark, tmp_path):
     source = tmp_path / "events"
-    rows = [("p", s, i) for i, s in enumerate(["new", "uploaded", "uploaded", "running", "done", "running"])] + [("q", "submission_unknown", 0), ("q", "new", 1)]
+    rows = [("p", s, i) for i, s in enumerate(["new", "uploaded", "uploaded", "running", "done", "running"])] + [("q", "submission_unknown", 0), ("q", "new", 1), ("r", "waiting-file", 0), ("r", "uploaded", 90_000)]
     spark.createDataFrame(rows, "part string, state string, at int").coalesce(1).write.parquet(str(source))
     read = spark.readStream.schema("part string, state string, at int").parquet(str(source))
     for name, df in (("states_out", ledger.part_states(read)), ("changes_out", ledger.changes(read, "part", "state"))):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-    assert {tuple(r) for r in spark.table("states_out").collect()} == {("p", "uploaded"), ("p", "running"), ("p", "done"), ("q", "submission_unknown")}
+        writer = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name))
+        q = writer.trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    assert {tuple(r) for r in spark.table("states_out").collect()} == {("p", "uploaded"), ("p", "running"), ("p", "done"), ("q", "submission_unknown"), ("r", "waiting-file"), ("r", "expired"), ("r", "uploaded")}
     assert [r.status for r in spark.table("changes_out").filter("task = 'p'").collect()] == ["new", "uploaded", "running", "done", "running"]
 
 
