@@ -12,7 +12,7 @@ words exactly 1. P(w) is the Good-Turing unigram; its free mass goes to one unkn
 Base scores are additively smoothed unigrams.
 
 Execution. Texts are read once, in blocks of about ``BLOCK_CHARS`` characters; a block keeps
-its tokens as numbers into its own sorted vocabulary. Counting and look-up share one shuffle
+its tokens as numbers into its own vocabulary. Counting and look-up share one shuffle
 per order: every block sends its distinct n-grams with its own counts to the bucket that owns
 them (a hash of the n-gram or of its history), the bucket adds up and answers each block in
 the order asked. What moves is thus distinct n-grams per block, packed in compressed arrays,
@@ -31,6 +31,7 @@ but not learned from; without training documents every token is unknown and has
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,9 +46,9 @@ from .common import fold, written
 #: Counts up to K are discounted.
 K = 5
 ABSOLUTE = 0.5
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 #: Tokens of the corpus for each bucket.
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 1_000_000
 HOT_TOKENS, HOT_SHARE = 200_000, 2.0**-20
 #: Smoothing of the base score.
 ADD = 0.1
@@ -123,20 +124,23 @@ def backoff(total: np.ndarray, small: np.ndarray, lower: np.ndarray, d: np.ndarr
 
 
 def pack(a: np.ndarray) -> bytes:
-    """A whole-number or float64 array in the narrowest type, compressed."""
+    """A whole-number or float64 array in the narrowest type, byte by byte of its items, compressed."""
     import zstandard
 
     if a.dtype.kind in "iub":
         top = int(a.max(initial=0))
         a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-    return a.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return a.dtype.str[1:].encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
     import zstandard
 
-    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b[2:])), b[:2].decode())
-    return a if a.dtype.kind == "f" else a.astype(np.int64) if a.dtype.itemsize < 8 else a
+    kind = np.dtype(b[:2].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b[2:])), np.uint8).reshape(kind.itemsize, -1)
+    a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return a if kind.kind == "f" else a.astype(np.int64) if kind.itemsize < 8 else a
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -161,10 +165,12 @@ END = b" "
 
 def _block(doc_ids: list, held: list, learn: list, lengths: list, ids: list[np.ndarray], vocabulary: dict[bytes, int]) -> tuple:
     keys = np.fromiter(map(_word_hash, vocabulary), np.uint64, len(vocabulary))
-    order = np.argsort(keys)
+    first_seen = np.concatenate(ids)
+    # Frequent words get small numbers, which pack well.
+    order = np.argsort(-np.bincount(first_seen, minlength=len(keys)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    stream = rank[np.concatenate(ids)]
+    stream = rank[first_seen]
     weights = np.repeat(np.array(learn, float), lengths)
     learned = np.bincount(stream, weights, len(keys)).astype(np.int64)
     has = np.array([d is not None for d in doc_ids])
@@ -248,7 +254,9 @@ def _answer_words(buckets: int):
         words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([unpack(x) for x in group["b"]]), len(words)).astype(np.int64)
         bucket = int(group["bucket"].iloc[0])
-        number = np.where(total > 0, np.cumsum(total > 0) * buckets + bucket, 0)
+        rank = np.empty(len(total), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
+        number = np.where(total > 0, rank * buckets + bucket, 0)
         rows = [_answer(bucket=bucket, stat=[int(total.sum()), int((total > 0).sum()), *_of_counts(total)[1:].tolist()])]
         ends = np.cumsum([len(x) for x in keys])
         for block, at in zip(group["block"], np.split(inverse, ends[:-1]), strict=True):
@@ -421,6 +429,12 @@ def _score(buckets: int, hot_from: float, unigrams: Unigrams, of_words: np.ndarr
     return run
 
 
+def _released(spark) -> None:
+    """Lets Spark drop the shuffle files of finished steps: it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _sums(answers: DataFrame) -> np.ndarray:
     """Sums of the buckets' statistics: tokens, words, counts of counts 1..K+1."""
     cells = [F.coalesce(F.sum(F.get("stat", F.lit(i))), F.lit(0)) for i in range(K + 3)]
@@ -438,6 +452,7 @@ def katz_scores(docs: DataFrame, parts: int = 10, held: int = 0, bucket_tokens:
     asked = text.select("block", "keys", "learned").mapInPandas(_ask_words(buckets), "block long, bucket long, a binary, b binary")
     words = written(asked.groupBy("bucket").applyInPandas(_answer_words(buckets), ANSWER), "katz_order1")
     tokens, kinds, *counts = _sums(words)
+    _released(spark)
     of_words = np.array([0, *counts])
     unigrams = Unigrams.of(int(tokens), int(kinds), of_words)
 
@@ -456,6 +471,8 @@ def katz_scores(docs: DataFrame, parts: int = 10, held: int = 0, bucket_tokens:
     asked = joined((1, words)).groupBy("block").applyInPandas(_ask_pairs(buckets, hot_from), request)
     pairs = written(asked.groupBy("bucket").applyInPandas(_answer_pairs(unigrams, of_words), ANSWER), "katz_order2")
     of_pairs = np.array([0, *_sums(pairs)[2:]])
+    del asked
+    _released(spark)
     # At most total / hot_from rows, that is 2**20.
     sums = pairs.filter("hot is not null").groupBy(F.get("hot", F.lit(0)).alias("h"))
     hot = sums.agg(*(F.sum(F.get("hot", F.lit(i))).alias(f"s{i}") for i in range(1, K + 3))).orderBy("h").collect()
