@@ -20,8 +20,10 @@ CATEGORIES = (("完整性与结构", 0), ("数值与单位", 1), ("术语", 2),
 def with_concerns(pairs: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Adds ``concerns``: the soft rules that a pair of texts breaks, in their order."""
     s, t = F.col("_s"), F.col("_t")
+    # Generators keep the optimizer from computing the numbers and the rules once more for
+    # every place that names them, filters above included.
     staged = pairs.withColumns({"_s": plain(F.col(source)), "_t": plain(F.col(target))})
-    staged = staged.withColumns({"_ns": numbers(s), "_nt": numbers(t)})
+    staged = staged.select("*", F.inline(F.array(F.struct(numbers(s).alias("_ns"), numbers(t).alias("_nt")))))
     long = F.length(s) >= 120
     rules = F.array(
         F.when(~equivalent_numbers(s, t, F.col("_ns"), F.col("_nt")), F.lit(NUMBERS_CHANGED)),
@@ -29,7 +31,7 @@ def with_concerns(pairs: DataFrame, source: str = "source", target: str = "targe
         F.when(long & (F.length(t) < F.length(s) * F.lit(0.12)), F.lit(TOO_SHORT)),
         F.when(long & (F.length(t) > F.length(s) * 2), F.lit(TOO_LONG)),
     )
-    return staged.withColumn("concerns", F.array_compact(rules)).drop("_s", "_t", "_ns", "_nt")
+    return staged.select(*pairs.columns, F.explode(F.array(F.array_compact(rules))).alias("concerns"))
 
 
 def category_rank(reasons: Column, kind: Column) -> Column:

@@ -9,14 +9,14 @@ from ..functions.text import estimated_tokens
 from ..operators import parts as P
 from ..operators import remote, terms, texts
 from ..sources import fixtures
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 from . import twins
 from .registry import query
 
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: every document as Markdown with headings, a reference section and an appendix."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     text = F.concat(
         F.lit("# Document "), "doc_id", F.lit("\n\n"), body, F.lit("\n\n## References\n\n[1] "), F.substring("text", 1, 40), F.lit("\n\n## Appendix\n\nEnd of "), "source"
@@ -41,7 +41,7 @@ def d1_markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(regexp_replace(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), ' +', ' ', 'g')) AS words FROM documents")
 def d3_split_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces keep all words in order."""
-    pieces = texts.prose_pieces(read_table(spark, sf_dir, "documents"), 600)
+    pieces = texts.prose_pieces(spread(read_table(spark, sf_dir, "documents")), 600)
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ")
     words = F.sha2(F.trim(F.regexp_replace(ordered, r"[\s]+", " ")).cast("binary"), 256)
     return pieces.groupBy("doc_id").agg(words.alias("words"))
@@ -54,7 +54,7 @@ HTML_TABLES = """
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "lineitem")
+    items = spread(read_table(spark, sf_dir, "lineitem"))
     return items.select(F.xxhash64(*items.columns).alias("row_id"), F.expr(HTML_TABLES).alias("html"))
 
 
@@ -83,7 +83,7 @@ FORMULA = """concat('Force $F = m a$ of ', p_name, ' [', p_partkey, '] is $', p_
 
 @query()
 def d14_d15_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part").select("p_partkey", F.expr(FORMULA.replace("{{", "{").replace("}}", "}")).alias("text"))
+    part = spread(read_table(spark, sf_dir, "part")).select("p_partkey", F.expr(FORMULA.replace("{{", "{").replace("}}", "}")).alias("text"))
     return texts.protected(part, "p_partkey", "text").select("p_partkey", "protected", F.size("marks").cast("long").alias("marks"))
 
 
@@ -92,7 +92,7 @@ def c15_c16_readable_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit("angle $"), "p_size", F.lit(" . 5 ^ { \\circ }$, $\\dot { V } \\mathrm { O } _ { 2 \\operatorname* { m a x } } \\geq "), "p_partkey", F.lit("$ $\\frac{a}{b}$")
     )
-    return texts.readable(read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return texts.readable(spread(read_table(spark, sf_dir, "part")).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query(
@@ -101,13 +101,13 @@ SELECT p_partkey, pos, CASE pos WHEN 0 THEN p_name || ' x' WHEN 1 THEN '²' ELSE
 )
 def c18_styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" x<sup>2</sup><b>"), "p_brand", F.lit("</b>"))
-    runs = texts.styled_runs(read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    runs = texts.styled_runs(spread(read_table(spark, sf_dir, "part")).select("p_partkey", text.alias("text")), "p_partkey", "text")
     return runs.select("p_partkey", "pos", "run", "bold", "superscript")
 
 
 @query()
 def d18_leftover_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.english_left(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return texts.english_left(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query()
@@ -118,12 +118,12 @@ def d19_leftover_english_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("SELECT p_partkey, unnest([0, 1]) AS pos, unnest(['\\frac', 'mathrm']) AS command FROM part")
 def d20_latex_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" \\frac{a}{b} \\FRAC mathrm"))
-    return texts.latex_left(read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return texts.latex_left(spread(read_table(spark, sf_dir, "part")).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query()
 def d22_audit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.audit_terms(read_table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text", 20)
+    return texts.audit_terms(spread(read_table(spark, sf_dir, "documents")).filter("lang = 'en'"), "doc_id", "text", 20)
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in terms.STOP)
@@ -148,13 +148,13 @@ SELECT doc_id, rank, term, n FROM ranked WHERE rank <= 100"""
 )
 def d23_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best term candidates of every document."""
-    return terms.candidates(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return terms.candidates(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("The "), F.upper("p_name"), F.lit(", "), F.lower("p_type"), F.lit(" of brand; a "), "p_name", F.lit("s and small things"))
     target = F.concat(F.lit("译"), F.col("p_partkey") % 64)
-    return read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), target.alias("target"))
+    return spread(read_table(spark, sf_dir, "part")).select("p_partkey", text.alias("text"), target.alias("target"))
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:

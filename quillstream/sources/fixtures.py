@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every 7th order has another total in the target, every 11th a target that breaks off,
     every 13th is left in English.
     """
-    orders = read_table(spark, sf_dir, "orders")
+    orders = spread(read_table(spark, sf_dir, "orders"))
     price = F.col("o_totalprice").cast("decimal(14,2)")
     source = F.concat(
         F.lit("Order "), F.col("o_orderkey"), F.lit(" of customer "), F.col("o_custkey"), F.lit(" was placed on "),

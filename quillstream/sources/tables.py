@@ -8,3 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (any file system that Spark can open)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt over the cores if its files are fewer than they.
+
+    For small inputs of costly row-wise work; a large table has more partitions and stays as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
