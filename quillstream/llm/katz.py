@@ -46,7 +46,7 @@ from .common import fold, written
 #: Counts up to K are discounted.
 K = 5
 ABSOLUTE = 0.5
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 6_000_000
 #: Tokens of the corpus for each bucket.
 BUCKET_TOKENS = 1_000_000
 HOT_TOKENS, HOT_SHARE = 200_000, 2.0**-20
@@ -150,7 +150,14 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blocks
 
-BLOCK = "block long, doc_ids binary, has_id binary, held binary, lengths binary, ids binary, keys binary, learned binary, tokens long"
+#: keys_low and keys_high are the halves of the words' hashes; the low one says who owns a word.
+BLOCK = (
+    "block long, doc_ids binary, has_id binary, held binary, lengths binary, ids binary, keys_low binary, end long, "
+    "keys_high binary, learned binary, tokens long"
+)
+#: Columns that only the requests of order 1 need.
+ASKED_ONCE = ("keys_high", "learned", "tokens")
+LOW = np.uint64((1 << 32) - 1)
 
 
 def _word_hash(word: bytes) -> int:
@@ -175,8 +182,10 @@ def _block(doc_ids: list, held: list, learn: list, lengths: list, ids: list[np.n
     learned = np.bincount(stream, weights, len(keys)).astype(np.int64)
     has = np.array([d is not None for d in doc_ids])
     numbers = np.array([d or 0 for d in doc_ids], np.int64).view(np.uint64)
-    packed = [pack(x) for x in (numbers, has, np.array(held) + 2 * np.array(learn), np.array(lengths), stream, keys[order], learned)]
-    return (uuid.uuid4().int >> 65, *packed, len(stream))
+    keys = keys[order]
+    first = [pack(x) for x in (numbers, has, np.array(held) + 2 * np.array(learn), np.array(lengths), stream, keys & LOW)]
+    end = int(rank[vocabulary[END]])
+    return (uuid.uuid4().int >> 65, *first, end, pack(keys >> np.uint64(32)), pack(learned), len(stream))
 
 
 def blocks(docs: DataFrame, parts: int, held: int) -> DataFrame:
@@ -235,9 +244,10 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def _ask_words(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, keys, learned in zip(b["block"], b["keys"], b["learned"], strict=True):
-                keys, learned = unpack(keys).astype(np.uint64), unpack(learned)
-                rows = [(block, k, pack(keys[at]), pack(learned[at])) for k, at in _split((keys % np.uint64(buckets)).astype(np.int64))]
+            for block, low, high, learned in zip(b["block"], b["keys_low"], b["keys_high"], b["learned"], strict=True):
+                low, learned = unpack(low), unpack(learned)
+                keys = unpack(high).astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+                rows = [(block, k, pack(keys[at]), pack(learned[at])) for k, at in _split(low % buckets)]
                 yield pd.DataFrame(rows, columns=["block", "bucket", "a", "b"])
 
     return run
@@ -291,12 +301,12 @@ class Opened:
         flags = unpack(row["held"])
         self.held, self.learn = (flags & 1).astype(bool), (flags & 2) > 0
         self.lengths, self.ids = unpack(row["lengths"]), unpack(row["ids"])
-        keys = unpack(row["keys"]).astype(np.uint64)
-        self.count, self.number = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        owner = unpack(row["keys_low"]) % buckets
+        self.count, self.number = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
         by = dict(zip(answers["bucket"], zip(answers["a"], answers["b"], strict=True), strict=True))
-        for k, at in _split((keys % np.uint64(buckets)).astype(np.int64)):
+        for k, at in _split(owner):
             self.count[at], self.number[at] = map(unpack, by[k])
-        self.end = int(np.flatnonzero(keys == np.uint64(_word_hash(END)))[0])
+        self.end = int(row["end"])
 
     def pairs(self, buckets: int, hot_from: float) -> Pairs:
         before = np.empty_like(self.ids)
@@ -320,8 +330,8 @@ class Opened:
 def _ask_pairs(buckets: int, hot_from: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """a: histories, b: words, c: the block's counts, d: counts of the words."""
-        row = group[group["keys"].notna()].iloc[0]
-        block = Opened(row, group[group["keys"].isna()], buckets)
+        row = group[group["keys_low"].notna()].iloc[0]
+        block = Opened(row, group[group["keys_low"].isna()], buckets)
         p, rows = block.pairs(buckets, hot_from), []
         for k, at in _split(p.bucket):
             first, second = p.first[at], p.second[at]
@@ -379,8 +389,8 @@ def _score(buckets: int, hot_from: float, unigrams: Unigrams, of_words: np.ndarr
     d2 = discounts(of_pairs)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group[group["keys"].notna()].iloc[0]
-        rest = group[group["keys"].isna()]
+        row = group[group["keys_low"].notna()].iloc[0]
+        rest = group[group["keys_low"].isna()]
         block = Opened(row, rest[rest["order"] == 1], buckets)
         p = block.pairs(buckets, hot_from)
         answers = rest[rest["order"] == 2]
@@ -449,14 +459,14 @@ def katz_scores(docs: DataFrame, parts: int = 10, held: int = 0, bucket_tokens:
     buckets = max(4, -(-total // bucket_tokens))
     hot_from = max(hot_tokens, total * HOT_SHARE)
 
-    asked = text.select("block", "keys", "learned").mapInPandas(_ask_words(buckets), "block long, bucket long, a binary, b binary")
+    asked = text.select("block", "keys_low", "keys_high", "learned").mapInPandas(_ask_words(buckets), "block long, bucket long, a binary, b binary")
     words = written(asked.groupBy("bucket").applyInPandas(_answer_words(buckets), ANSWER), "katz_order1")
     tokens, kinds, *counts = _sums(words)
     _released(spark)
     of_words = np.array([0, *counts])
     unigrams = Unigrams.of(int(tokens), int(kinds), of_words)
 
-    lines = [c.split()[0] for c in BLOCK.split(", ") if c.split()[0] != "block"]
+    lines = [c.split()[0] for c in BLOCK.split(", ") if c.split()[0] not in ("block", *ASKED_ONCE)]
     blank = [F.lit(None).cast(text.schema[c].dataType).alias(c) for c in lines]
     answer = [F.lit(None).cast("long").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in "abcd")]
 
