@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontamination, exact_dedup, sentencepiece_codec, simhash, toxicity
+from quillstream.llm import decontamination, exact_dedup, sentencepiece_codec, similar, toxicity
 from quillstream.llm.common import read_table, written
 
 
@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_deduplicated(docs)
+    return similar.similar_deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
