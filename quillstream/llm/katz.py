@@ -281,10 +281,15 @@ def _answer_words(buckets: int):
 
 @dataclass
 class Pairs:
-    """Distinct pairs of known words in a block: numbers, the block's counts, where they stand."""
+    """Distinct pairs of known words in a block: numbers, the block's counts, where they stand.
+
+    A history that stands before unknown words alone has one pair with the unknown word (``second``
+    is 0), which asks for its backoff weight.
+    """
 
     first: np.ndarray  # per pair: local number of the history
-    second: np.ndarray
+    second: np.ndarray  # the word's number over all blocks, 0 for the unknown word
+    count: np.ndarray  # occurrences of the word
     learned: np.ndarray
     bucket: np.ndarray
     hot: np.ndarray
@@ -321,10 +326,18 @@ class Opened:
         weights = np.repeat(self.learn, self.lengths)[known].astype(float)
         learned = np.bincount(where, weights, len(distinct)).astype(np.int64)
         first, second = distinct // n, distinct % n
+        # The weights of histories whose followers here are all unknown are needed too.
+        alone = np.zeros(n, bool)
+        alone[before[(self.count[before] > 0) & (self.count[self.ids] == 0)]] = True
+        alone[first] = False
+        alone = np.flatnonzero(alone)
+        first, second = np.r_[first, alone], np.r_[second, np.full(len(alone), -1)]
+        learned = np.r_[learned, np.zeros(len(alone), np.int64)]
+        follower = np.where(second < 0, 0, self.number[second])
         hot = self.count[first] >= hot_from
         h = _mixed(self.number[first])
-        h = np.where(hot, _mixed(h ^ _mixed(self.number[second] + 1)), h)
-        return Pairs(first, second, learned, ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), hot, inverse)
+        h = np.where(hot, _mixed(h ^ _mixed(follower + 1)), h)
+        return Pairs(first, follower, np.where(second < 0, 0, self.count[second]), learned, ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), hot, inverse)
 
 
 def _ask_pairs(buckets: int, hot_from: float):
@@ -334,9 +347,9 @@ def _ask_pairs(buckets: int, hot_from: float):
         block = Opened(row, group[group["keys_low"].isna()], buckets)
         p, rows = block.pairs(buckets, hot_from), []
         for k, at in _split(p.bucket):
-            first, second = p.first[at], p.second[at]
+            first = p.first[at]
             hot = block.count[first] >= hot_from
-            rows.append((block.block, k, pack(block.number[first] * 2 + hot), pack(block.number[second]), pack(p.learned[at]), pack(block.count[second])))
+            rows.append((block.block, k, pack(block.number[first] * 2 + hot), pack(p.second[at]), pack(p.learned[at]), pack(p.count[at])))
         return pd.DataFrame(rows, columns=["block", "bucket", "a", "b", "c", "d"])
 
     return run

@@ -104,3 +104,16 @@ def test_packing():
     for a in ([], [0, 3], [300], [70_000], [1 << 40]):
         assert katz.unpack(katz.pack(np.array(a, np.int64))).tolist() == a
     assert katz.unpack(katz.pack(np.array([0.25]))).tolist() == [0.25]
+
+
+@pytest.mark.parametrize("hot_tokens", [katz.HOT_TOKENS, 3])
+def test_histories_before_unknown_words_back_off_in_every_block(make_docs, monkeypatch, hot_tokens):
+    """Rare histories before unknown words alone: the same scores whatever the blocks."""
+    held = lambda i: crc32(str(i).encode()) % 10 == 0
+    rows = [(i, f"never{i} rare{i % 7} unknown{i} w1 other{i}" if held(i) else f"w1 w2 rare{i % 7} w{i % 5} w3", "en") for i in range(120)]
+    model = Brute([t for i, t, _ in rows if not held(i)])
+    want = {i: model.score(t) for i, t, _ in rows}
+    for size in (1, 100, 6_000_000):
+        monkeypatch.setattr(katz, "BLOCK_CHARS", size)
+        got = {r.doc_id: r.score for r in katz.katz_scores(make_docs(rows), bucket_tokens=100, hot_tokens=hot_tokens).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
