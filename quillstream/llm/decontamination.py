@@ -1,12 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units are
-replaced by typed placeholders, other words are lower-cased. Windows of ``WINDOW`` template
-tokens that hold at least ``LITERALS`` ordinary words are hashed. Document windows join the
+replaced by typed placeholders, other words are lower-cased. All windows of ``WINDOW`` template
+tokens are hashed; those without an ordinary word with their fillers as they are, as nothing
+else tells them apart. Document windows join the
 benchmark's on the hash (a hash is confirmed on the window's own words), and matches of one
 document and item with the same offset between them form an alignment. An alignment counts
 if its slots are consistent: equal fillers of the item are equal in the document and
-different ones differ, so numbers may all be new but must follow one assignment. A pair is a
+different ones differ, so numbers may all be new but must follow one assignment. Windows of fewer
+than ``LITERALS`` ordinary words (the sparse ones) count where their fillers are the item's own, or
+where all windows of the item that hold an ordinary word match in one consistent alignment. A pair is a
 leak if the consistent alignments cover at least ``COVERAGE`` of the item's tokens or a run
 of ``RUN`` tokens of it.
 
@@ -24,13 +27,13 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import without_ids, written
@@ -117,18 +120,38 @@ def canonicaliser() -> Canonicaliser:
     return Canonicaliser()
 
 
-def window_hashes(codes: np.ndarray, plain: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` tokens with enough ordinary words."""
+def window_hashes(codes: np.ndarray, plain: np.ndarray, size: int, exact: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of ``size`` tokens; ``exact`` gives the codes of tokens as written."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.full(n, size, np.uint64)
+    h = _hashed(codes, np.arange(n), size)
+    words = np.r_[0, np.cumsum(plain)]
+    bare = np.flatnonzero(words[size:] == words[:n])
+    if len(bare):
+        own = np.zeros(len(codes), bool)
+        for k in range(size):
+            own[bare + k] = True
+        own = np.flatnonzero(own)
+        written = codes.copy()
+        written[own] = exact(own)
+        h[bare] = _hashed(written, bare, size)
+    return np.arange(n), h.view(np.int64)
+
+
+def _hashed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    h = np.full(len(starts), size, np.uint64)
     for k in range(size):
-        h ^= (codes[k : k + n] + np.uint64(k)) * _MULTIPLIERS[k]
+        h ^= (codes[starts + k] + np.uint64(k)) * _MULTIPLIERS[k]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    words = np.r_[0, np.cumsum(plain)]
-    at = np.flatnonzero(words[size:] - words[:n] >= min(LITERALS, size - 1))
-    return at, h[at].view(np.int64)
+    return h
+
+
+_code_of = lru_cache(maxsize=1 << 16)(_code)
+
+
+def _exact(tokens: list[str], words: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda at: np.array([_code_of(tokens[k].lower()) for k in words[at]], np.uint64)
 
 
 def _surface(tokens: list[str], words: np.ndarray, plain: np.ndarray, at: int, size: int) -> list[str]:
@@ -137,7 +160,8 @@ def _surface(tokens: list[str], words: np.ndarray, plain: np.ndarray, at: int, s
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, place, size, item_tokens, item_words, item_plain of every window of the benchmark."""
+    """hash, item_id, place, size, item_tokens, item_words, item_plain of every window of the benchmark, the
+    number of its ordinary words, and of the item's windows that hold one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         canon = canonicaliser()
@@ -147,11 +171,14 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 tokens, words, codes, plain = canon(text)
                 if len(words) >= SHORTEST:
                     size = min(WINDOW, len(words))
-                    for at, h in zip(*window_hashes(codes, plain, size), strict=True):
-                        rows.append((h, item, at, size, len(words), _surface(tokens, words, plain, at, size), plain[at : at + size].tolist()))
-            yield pd.DataFrame(rows, columns=["hash", "item_id", "place", "size", "item_tokens", "item_words", "item_plain"])
-
-    schema = "hash long, item_id long, place int, size int, item_tokens int, item_words array<string>, item_plain array<boolean>"
+                    held = np.r_[0, np.cumsum(plain)]
+                    literals = held[size:] - held[: len(words) - size + 1]
+                    anchored = int((literals > 0).sum())
+                    for at, h in zip(*window_hashes(codes, plain, size, _exact(tokens, words)), strict=True):
+                        rows.append((h, item, at, size, len(words), _surface(tokens, words, plain, at, size), plain[at : at + size].tolist(), int(literals[at]), anchored))
+            yield pd.DataFrame(rows, columns=["hash", "item_id", "place", "size", "item_tokens", "item_words", "item_plain", "literals", "anchored"])
+
+    schema = "hash long, item_id long, place int, size int, item_tokens int, item_words array<string>, item_plain array<boolean>, literals int, anchored int"
     ids = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return ids.filter("item_id is not null").dropDuplicates().mapInPandas(run, schema)
 
@@ -180,7 +207,7 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFr
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 tokens, words, codes, plain = canon(text)
                 for size in sizes:
-                    at, h = window_hashes(codes, plain, size)
+                    at, h = window_hashes(codes, plain, size, _exact(tokens, words))
                     slot = h & (FILTER_BITS - 1)
                     hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
                     rows += [(h[k], doc, at[k], _surface(tokens, words, plain, at[k], size)) for k in hit]
@@ -201,16 +228,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "transform(filter(sequence(0, size - 1), i -> not item_plain[i]), "
         "i -> struct(lower(item_words[i]) as a, lower(doc_words[i]) as b))"
     )
-    matched = found.filter("size(doc_words) = size").filter(same)
-    aligned = matched.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
-        F.collect_set(F.struct("place", "size")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(fillers))).alias("slots"),
-        F.max("item_tokens").alias("item_tokens"),
-    )
-    consistent = F.expr(
-        "size(slots) = size(array_distinct(transform(slots, s -> s.a))) and size(slots) = size(array_distinct(transform(slots, s -> s.b)))"
+    exact = F.expr("forall(sequence(0, size - 1), i -> lower(item_words[i]) = lower(doc_words[i]))")
+    matched = found.filter("size(doc_words) = size").filter(same).withColumns({"exact": exact, "slots": fillers})
+    place, dense = F.struct("place", "size"), F.col("literals") >= F.least(F.lit(LITERALS), F.col("size") - 1)
+
+    def collected(kind: str, which: Column) -> list[Column]:
+        """Windows of a kind in an alignment, and their slots."""
+        return [
+            F.collect_set(F.when(which, place)).alias(f"{kind}_places"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("slots"))))).alias(f"{kind}_slots"),
+        ]
+
+    anchored = F.col("literals") > 0
+    aligned = matched.filter(anchored | F.col("exact")).groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
+        *collected("dense", dense), *collected("sure", dense | F.col("exact")), *collected("exact", F.col("exact")), *collected("all", F.lit(True)),
+        F.count_distinct(F.when(anchored, F.col("place"))).alias("found"), F.max("anchored").alias("anchored"), F.max("item_tokens").alias("item_tokens"),
+    )
+
+    def consistent(kind: str) -> Column:
+        slots = f"{kind}_slots"
+        return F.expr(f"size({slots}) = size(array_distinct(transform({slots}, s -> s.a))) and size({slots}) = size(array_distinct(transform({slots}, s -> s.b)))")
+
+    nothing = F.expr("array() :: array<struct<place: int, size: int>>")
+    counted = F.concat(
+        *(F.when(consistent(k), F.col(f"{k}_places")).otherwise(nothing) for k in ("dense", "sure", "exact")),
+        F.when(consistent("all") & (F.col("anchored") > 0) & (F.col("found") == F.col("anchored")), F.col("all_places")).otherwise(nothing),
     )
-    pairs = aligned.filter(consistent).groupBy("doc_id", "item_id").agg(
+    pairs = aligned.withColumn("places", F.array_distinct(counted)).filter("size(places) > 0").groupBy("doc_id", "item_id").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("item_tokens").alias("item_tokens")
     )
     covered = F.expr("array_sort(array_distinct(flatten(transform(places, p -> sequence(p.place, p.place + p.size - 1)))))")
