@@ -123,7 +123,7 @@ def d20_latex_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d22_audit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.audit_terms(spread(read_table(spark, sf_dir, "documents")).filter("lang = 'en'"), "doc_id", "text", 20)
+    return texts.audit_terms(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 STOP_LIST = ", ".join(f"'{w}'" for w in terms.STOP)
