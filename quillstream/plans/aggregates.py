@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates
@@ -86,6 +86,19 @@ def g4_acronym_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), "item").limit(45)
 
 
+@query()
+def g4_document_acronym_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acronyms that each document repeats, at most 45 of them, for its consistency guide.
+
+    Word boundaries are Unicode's, which DuckDB's aren't, so there is no oracle.
+    """
+    found = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"(?U){ACRONYM}"), F.lit(0))).alias("item"))
+    kept = found.filter((F.length("item") <= 20) & ~F.col("item").isin("PDF", "DOI", "ISSN"))
+    counted = kept.groupBy("doc_id", "item").agg(F.count("*").alias("n")).filter("n >= 2")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "item"))
+    return counted.withColumn("rank", rank).filter("rank <= 45")
+
+
 SUMMARY = """count(*) AS requests, sum(coalesce(total_tokens, 0))::BIGINT AS tokens, count(*) FILTER (WHERE retry) AS retries,
        round(sum(CASE WHEN retry THEN seconds ELSE 0.0 END), 4) AS retry_seconds"""
 

@@ -13,3 +13,13 @@ def test_audit_terms_of_all_languages_and_80_a_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.QUERIES["d22_audit_terms"](spark, str(tmp_path)).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r.doc_id: r.n for r in got} == {1: 80, 2: 80, 3: 80}
+
+
+def test_acronyms_of_each_document(spark, tmp_path):
+    many = " ".join(f"A{i:02}" for i in range(60))
+    rows = [(1, f"{many} {many} A59", "en"), (2, "VO2 VO2 HIT", "de"), (3, "HIT PDF PDF éAB éAB", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["g4_document_acronym_guide"](spark, str(tmp_path)).collect()
+    first = {r.rank: (r.item, r.n) for r in got if r.doc_id == 1}
+    assert len(first) == 45 and first[1] == ("A59", 3) and first[2] == ("A00", 2)
+    assert [(r.doc_id, r.item, r.n) for r in got if r.doc_id != 1] == [(2, "VO2", 2)]
