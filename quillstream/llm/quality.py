@@ -41,7 +41,6 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def _shape(word: str) -> str:
-    word = word if len(word) <= 64 else word[:32] + word[-32:]
     word = _RUN.sub(r"\1\1\1", word)
     word = re.sub(r"[^\W\d_]+", lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", word)
     return _DIGIT.sub("0", word)
