@@ -1,36 +1,44 @@
-"""Connected components over a distributed table of links."""
+"""Connected components over a distributed table of links.
+
+Edge cases: an empty table and links of a node with itself give no rows; repeated links count
+once. Null nodes are not allowed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import attached, forget, written
 
-#: No graph of fewer than 2**40 nodes needs as many rounds.
-ROUNDS = 60
+#: Alternating star steps need O(log n) rounds or few more; more than these is an error, not a result.
+ROUNDS = 200
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to the least node it knows."""
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Each node hands its larger neighbours to the least node it knows, itself included."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    known = attached(both, least, "u", "n", 2 * n_edges)
+    return known.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    known = attached(edges, least, "u", "n", n_edges)
+    moved = known.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the links (a, b) that isn't itself the least of its component.
 
-    Alternating large-star and small-star steps (each of partial aggregations and joins by
-    node, which AQE splits where one node is hot) until nothing changes. Every round is
-    written to the shared folder, so that a lost executor costs one round at most.
+    Alternating large-star and small-star steps until nothing changes. The least neighbours
+    are partial aggregates; the links of a node with many of them (the least of a large
+    component has all) stay where they are and meet its row by broadcast (``attached``). Every
+    step is a table in the shared folder and the one before it is deleted, so a lost executor
+    costs one step at most.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -40,9 +48,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(now, "links")
     before = mark(now)
     for _ in range(ROUNDS if before[0] else 0):
-        now = written(_small_star(_large_star(now)), "links")
+        large = written(_large_star(now, before[0]), "links")
+        forget(now)
+        now = written(_small_star(large, large.count()), "links")
+        forget(large)
         after = mark(now)
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components of {before[0]} links didn't settle in {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
