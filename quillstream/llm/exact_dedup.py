@@ -1,39 +1,42 @@
-"""Exact deduplication: two passes of Bloom filters, so that only possible repeats shuffle.
-
-Pass 1 sets, for every text hash, one slot in each of two filter halves, counts the hits of
-a slot with map-side partial sums and keeps a bitmap of the slots that were hit twice or
-more. Pass 2 tests every hash against the bitmap: a hash with a slot that only one row hit is
-unique and passes straight through; the rest (repeats and a few false positives) is grouped
-by the full SHA-256. Texts never shuffle, only 8-byte slots and the hashes of candidates.
-
-The bitmap is the one thing sent to all tasks. Its size is 2 * slots bits, with
-slots = 8 per row rounded up to a power of two, at most ``MAX_SLOTS`` (2**26: 16 MB in all).
-Beyond that bound it fills up and more unique rows take the grouped way; the result is the
-same.
-
-Edge cases: a null text counts as empty; an empty table gives an empty result; rows that
-repeat both the id and the text count in group_size and are all marked kept, being one and
-the same document; rows without an id group by text like others, and a null id never wins
-over a real one. Further columns of the input are ignored.
+"""Exact deduplication: two passes of a Bloom filter, so that only possible repeats shuffle.
+
+Pass 1 gives every text hash one slot of a filter and counts the hits of a slot with map-side
+partial sums (one row of two numbers moves for each slot and task); a bitmap keeps the slots
+that were hit twice or more. Pass 2 tests every hash against the bitmap: a hash whose slot one row hit
+is unique and passes straight through where it is; the rest (repeats and a few false
+positives) is grouped by the full SHA-256. Texts never shuffle for the digests, and
+``deduplicated`` moves those of possible repeats alone. The rows of a large group meet its
+result by broadcast (``attached``), so no group's rows come together in one task.
+
+The bitmap is the one thing sent to all tasks: ``SLOTS_PER_ROW`` bits for each row, rounded up
+to a power of two, at most ``MAX_SLOTS`` (2**28 bits: 32 MB). It keeps false positives below 6 % up
+to 16 million rows. Beyond that it fills up, and the share of unique rows that take the grouped
+way rises with the rows for each slot; results stay the same.
+
+Edge cases: a null text counts as empty; an empty table gives an empty result; rows without an
+id group by text like others, and a null id never wins over a real one. Of rows that repeat
+the id and the text, ``exact_dedup`` marks all as kept, being one and the same document;
+``deduplicated`` lets one of them stay, the least by its other columns. Further columns of the
+input are ignored by the digests and pass through ``deduplicated``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids, written
+from .common import attached, written
 
-MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
-SLOTS_PER_ROW = 8
+MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 28
+SLOTS_PER_ROW = 16
 #: 64-bit words of the bitmap in one row of its table.
 CHUNK = 1024
 
 
-def text_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the text with white-space runs as one space."""
+def text_sha256() -> Column:
+    """SHA-256 of the text with white-space runs as one space."""
     spaced = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    return docs.select("doc_id", F.sha2(spaced.cast("binary"), 256).alias("text_sha256"))
+    return F.sha2(spaced.cast("binary"), 256)
 
 
 def _slots(count: int) -> int:
@@ -41,25 +44,21 @@ def _slots(count: int) -> int:
     return min(MAX_SLOTS, 1 << (wanted - 1).bit_length())
 
 
-def _places(slots: int):
-    """The two slots of a hash: one in each half of the filter."""
-    h = F.xxhash64("text_sha256")
-    first = h.bitwiseAND(F.lit(slots - 1))
-    second = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(slots - 1)) + F.lit(slots)
-    return first, second
+def _slot(slots: int, sha: str = "text_sha256") -> Column:
+    """The slot of a hash."""
+    return F.xxhash64(sha).bitwiseAND(F.lit(slots - 1))
 
 
 def repeated_bitmap(hashes: DataFrame, slots: int) -> DataFrame:
-    """One row: array of 2 * slots / 64 words whose bits are the slots hit twice or more."""
+    """One row: array of slots / 64 words whose bits are the slots hit twice or more."""
     spark = hashes.sparkSession
-    chunks = 2 * slots // 64 // CHUNK
-    hits = hashes.select(F.explode(F.array(*_places(slots))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    hits = hashes.groupBy(_slot(slots).alias("slot")).agg(F.count("*").alias("n"))
     words = (
         hits.filter("n > 1")
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     )
-    every = spark.range(chunks * CHUNK).withColumnRenamed("id", "word")
+    every = spark.range(slots // 64).withColumnRenamed("id", "word")
     dense = every.join(words, "word", "left").select(
         F.expr(f"word div {CHUNK}").alias("chunk"),
         F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"),
@@ -70,39 +69,63 @@ def repeated_bitmap(hashes: DataFrame, slots: int) -> DataFrame:
     )
 
 
+def _maybe(bitmap: Column, slots: int, sha: str = "text_sha256") -> Column:
+    """Whether the slot of the hash was hit twice or more."""
+    place = _slot(slots, sha)
+    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    return word.bitwiseAND(bit) != F.lit(0)
+
+
+class _Passes:
+    """Both passes over a table of digests (doc_id, text_sha256)."""
+
+    def __init__(self, digests: DataFrame) -> None:
+        self.hashes = written(digests, "text_hashes")
+        self.count = self.hashes.count()
+        self.slots = _slots(self.count)
+        # A scalar subquery: computed once, bounded by MAX_SLOTS, no join.
+        self.bitmap = written(repeated_bitmap(self.hashes, self.slots), "repeated_bitmap").scalar()
+        maybe = _maybe(self.bitmap, self.slots)
+        self.alone = self.hashes.filter(~maybe)
+        self.maybe = self.hashes.filter(maybe)
+        agg = (F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        self.groups = written(self.maybe.groupBy("text_sha256").agg(*agg), "text_groups")
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of ``docs``."""
-    hashes = written(text_hashes(docs), "text_hashes")
-    slots = _slots(hashes.count())
-    # A scalar subquery: computed once, bounded by MAX_SLOTS, no join.
-    bitmap = written(repeated_bitmap(hashes, slots), "repeated_bitmap").scalar()
-
-    def hit(place):
-        word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
-        return F.shiftrightunsigned(word, 0).bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-        ) != F.lit(0)
-
-    first, second = _places(slots)
-    flagged = hashes.select("doc_id", "text_sha256", (hit(first) & hit(second)).alias("maybe"))
-    alone = flagged.filter(~F.col("maybe")).select(
+    passes = _Passes(docs.select("doc_id", text_sha256().alias("text_sha256")))
+    alone = passes.alone.select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    maybe = flagged.filter("maybe").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    grouped = maybe.join(groups, "text_sha256").select(
+    grouped = attached(passes.maybe, passes.groups, "text_sha256", "group_size", passes.count).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionAll(grouped)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the one with the smallest id."""
-    return without_ids(docs, exact_dedup(docs).filter("not kept"))
+    """The rows of ``docs`` that stay: one of each group of equal texts, that with the smallest id.
+
+    Rows that the filter lets through are not moved. Of the others only those with the id that
+    stays are, and these one for each text, unless an id repeats with its text.
+    """
+    passes = _Passes(docs.select("doc_id", text_sha256().alias("text_sha256")))
+    sha = "__text_sha256"
+    hashed = docs.withColumn(sha, text_sha256())
+    maybe = _maybe(passes.bitmap, passes.slots, sha)
+    wins = passes.groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias("__keep_id"), "group_size")
+    wins = wins.withColumnRenamed("group_size", "__group_size")
+    first = attached(hashed.filter(maybe), wins, sha, "__group_size", passes.count).filter(
+        F.col("doc_id").eqNullSafe(F.col("__keep_id"))
+    )
+    one = first.groupBy(sha).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return hashed.filter(~maybe).select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 ORACLE = r"""
