@@ -15,9 +15,13 @@ with many finds its links by looking up all 2,080 neighbours of every fingerprin
 linear in the group. Either way it hands out a spanning forest rather than pairs. Components
 come from alternating large-star and small-star steps over distributed tables.
 
+Fingerprints themselves are the nodes of the components, so those that only rows without an id
+have link like any other; a component is named by the smallest id among its rows.
+
 Edge cases: null or blank texts have fingerprint zero and link like any other; an empty table
 gives an empty result; rows without an id keep a fingerprint and take the component of the
-rows that they link to. Further columns of the input are ignored.
+rows that they link to (null if none of these has an id); ids that repeat are rows each.
+Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids, written
+from .common import attached, per_text, texts_of, whole, written
 from .components import connected_components
 
 #: The contract's parameters: words in a shingle, hash seed, differing bits.
@@ -62,14 +66,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle, seed) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+    def compute(texts: list[str | None]) -> list:
+        return [np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts)).view(np.int64)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        compute, "doc_id long, fp long"
-    )
+    return per_text(texts_of(docs), {"fp": "long"}, whole(compute))
 
 
 def _pairs_by_syndrome() -> np.ndarray:
@@ -97,12 +97,11 @@ def anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         fp = b["fp"].to_numpy(np.int64)
-        rep = b["rep"].to_numpy(np.int64)
         for k in range(2):
             block = (fp.view(np.uint64) >> np.uint64(32 * k)) & np.uint64((1 << BLOCK_BITS) - 1)
             rows, words = anchors(block)
             key = words.astype(np.int64) | (k << BLOCK_BITS)
-            yield pd.DataFrame({"anchor": key, "fp": fp[rows], "rep": rep[rows]})
+            yield pd.DataFrame({"anchor": key, "fp": fp[rows]})
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -119,13 +118,12 @@ def _masks(bits: int) -> list[int]:
     return single + (double if bits > 1 else [])
 
 
-def forest(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (member, least member of its group) of the links among distinct fingerprints.
+def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, a first member of its group) of the links among distinct fingerprints.
 
     Linear in the group: every fingerprint looks up its neighbours in the sorted group.
     """
-    order = np.argsort(fp.view(np.uint64), kind="stable")
-    f, r = fp.view(np.uint64)[order], rep[order]
+    f = np.sort(fp.view(np.uint64))
     parent = np.arange(len(f))
     for mask in _masks(THRESHOLD):
         want = f ^ np.uint64(mask)
@@ -139,14 +137,11 @@ def forest(fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if len(a):
                 np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
                 parent = _find(parent)
-    least = np.full(len(f), np.iinfo(np.int64).max)
-    np.minimum.at(least, parent, r)
-    to = least[parent]
-    joined = to != r
-    return r[joined], to[joined]
+    joined = parent != np.arange(len(f))
+    return f[joined].view(np.int64), f[parent[joined]].view(np.int64)
 
 
-def links(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges among fingerprints of the same anchor; ``anchor`` is sorted."""
     starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     sizes = np.diff(np.r_[starts, len(anchor)])
@@ -159,10 +154,10 @@ def links(anchor: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[np.ndarr
         if not len(active):
             break
         near = np.bitwise_count(fp[active].view(np.uint64) ^ fp[active + gap].view(np.uint64)) <= THRESHOLD
-        left.append(rep[active[near]])
-        right.append(rep[active[near] + gap])
+        left.append(fp[active[near]])
+        right.append(fp[active[near] + gap])
     for g in np.flatnonzero(sizes > SMALL):
-        a, b = forest(fp[starts[g] : starts[g] + sizes[g]], rep[starts[g] : starts[g] + sizes[g]])
+        a, b = forest(fp[starts[g] : starts[g] + sizes[g]])
         left.append(a)
         right.append(b)
     empty = np.zeros(0, np.int64)
@@ -175,41 +170,37 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if not len(b):
             continue
-        rows = np.stack([b[c].to_numpy(np.int64) for c in ("anchor", "fp", "rep")])
+        rows = np.stack([b[c].to_numpy(np.int64) for c in ("anchor", "fp")])
         if held and held[0][0, -1] == rows[0, -1]:
             held.append(rows)
             continue
         rows = np.concatenate([*held, rows], axis=1)
         cut = np.searchsorted(rows[0], rows[0, -1])
         held = [rows[:, cut:]]
-        a, c = links(rows[0, :cut], rows[1, :cut], rows[2, :cut])
+        a, c = links(rows[0, :cut], rows[1, :cut])
         yield pd.DataFrame({"a": a, "b": c})
     if held:
         rows = np.concatenate(held, axis=1)
-        a, c = links(rows[0], rows[1], rows[2])
+        a, c = links(rows[0], rows[1])
         yield pd.DataFrame({"a": a, "b": c})
 
 
+def fingerprint_links(classes: DataFrame) -> DataFrame:
+    """a, b: links among the distinct fingerprints ``classes`` (fp), enough to join what is joined."""
+    near = classes.select("fp").mapInPandas(_replicate, "anchor long, fp long")
+    return near.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of ``docs``."""
     fps = written(fingerprints(docs), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    near = (
-        classes.filter("rep is not null")
-        .mapInPandas(_replicate, "anchor long, fp long, rep long")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInPandas(_compare, "a long, b long")
-    )
-    roots = connected_components(near)
-    named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return fps.join(named, "fp").select(
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    roots = connected_components(fingerprint_links(classes))
+    placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    placed = written(placed.withColumn("root", F.coalesce("root", "fp")), "placed")
+    names = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds"))
+    total = classes.agg(F.count("*"), F.sum("n")).first()
+    named = attached(placed, names, "root", "kinds", total[0]).select("fp", "n", "component_id")
+    return attached(fps, written(named, "named"), "fp", "n", total[1] or 0).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def near_deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
-    return without_ids(docs, near_duplicates(docs).filter("doc_id <> component_id"))

@@ -104,24 +104,25 @@ def clustered(seed, groups, size):
 def test_links_are_complete(spark):
     """Chains of fingerprints two bits apart, replicated, compared and joined."""
     fps = clustered(3, 40, 12) + [0, 1, 3, 7, 15, 1 << 63, (1 << 63) | 1, (1 << 32), (1 << 31)]
-    fps = dict(enumerate(dict.fromkeys(fps)))
-    rows = [(int(np.uint64(f).astype(np.int64)), i) for i, f in fps.items()]
-    near = (
-        spark.createDataFrame(rows, "fp long, rep long")
-        .mapInPandas(simhash._replicate, "anchor long, fp long, rep long")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
-        .mapInPandas(simhash._compare, "a long, b long")
-    )
+    signed = [int(np.uint64(f).astype(np.int64)) for f in dict.fromkeys(fps)]
+    near = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
     root = {r.node: r.root for r in components.connected_components(near).collect()}
-    assert {i: root.get(i, i) for i in fps} == brute_components(fps)
+    assert partition({f: root.get(f, f) for f in signed}) == partition(brute_components({f: f % (1 << 64) for f in signed}))
+
+
+def partition(root):
+    groups = defaultdict(set)
+    for x, r in root.items():
+        groups[r].add(x)
+    return {frozenset(g) for g in groups.values()}
 
 
 def test_a_large_group_gives_a_forest_of_the_same_components():
-    fps = dict(enumerate(clustered(5, 3, 150)))
-    a, b = simhash.forest(np.array(list(fps.values()), np.uint64).view(np.int64), np.array(list(fps)))
+    fps = clustered(5, 3, 150)
+    a, b = simhash.forest(np.array(fps, np.uint64).view(np.int64))
     root = dict(zip(a.tolist(), b.tolist()))
-    assert {i: root.get(i, i) for i in fps} == brute_components(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    assert partition({f: root.get(f, f) for f in signed}) == partition(brute_components({f: f % (1 << 64) for f in signed}))
 
 
 def test_near_duplicates(spark, make_docs, odd, empty):
@@ -134,7 +135,58 @@ def test_near_duplicates(spark, make_docs, odd, empty):
     assert got[10][1] == 3 and got[13][1] == 9
     assert simhash.near_duplicates(odd).count() == 9
     assert simhash.near_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in simhash.near_deduplicated(make_docs(rows)).collect()) == sorted({c for _, c in got.values()})
+
+
+def test_fingerprints_of_rows_without_id_link_others(spark, make_docs):
+    """Only a row without an id stands between two documents."""
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(base)]
+    for k in range(1, 12):  # single words more, until a chain of three links appears
+        texts.append(texts[-1] + f" x{k}")
+    fps = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    want = brute_components(fps)
+    middle = next((m for m in fps if any(bin(fps[m] ^ fps[o]).count("1") <= 2 and fps[o] != fps[m] for o in fps if o != m)), None)
+    rows = [(None if i == middle else i, t, "en") for i, t in enumerate(texts)]
+    got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(make_docs(rows)).collect()}
+    groups = defaultdict(list)
+    for i, r in want.items():
+        groups[r].append(i)
+    for members in groups.values():
+        least = min((i for i in members if i != middle), default=None)
+        assert {got[f"{fps[i]:016x}"] for i in members} == {least}
+
+
+def test_ids_keep_their_digits_beside_null(spark, make_docs):
+    big = (1 << 53) + 1
+    rows = [(big, "some text of words", "en"), (None, "other text of words", "en"), (-big, "some text of words", "en")]
+    docs = make_docs(rows)
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == {big, -big, None}
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(docs).collect()} == {(big, -big), (-big, -big), (None, None)}
+
+
+def test_deduplicated_keeps_one_row_of_each_text(spark, make_docs, odd):
+    rows = [(1, "a", "en"), (1, "b", "en"), (0, "b", "en"), (7, "c", "en"), (7, "c", "en"), (None, "d", "en"), (None, "d", "en"), (None, "a", "en")]
+    for docs in (make_docs(rows), odd, make_docs([(i % 50, f"t{i % 40}", "en") for i in range(400)])):
+        have = [(r.doc_id, r.text) for r in docs.collect()]
+        got = exact_dedup.deduplicated(docs)
+        assert got.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+        best = {}
+        for i, t in have:
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+            if norm not in best or (i is not None and (best[norm] is None or i < best[norm])):
+                best[norm] = i
+        assert sorted((re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), repr(i)) for i, t in got) == sorted((n, repr(i)) for n, i in best.items())
+
+
+def test_a_hot_text_and_a_hot_node(spark, make_docs):
+    """A third of the rows are one text: results are whole and no key's rows meet in a task."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i}", "en") for i in range(9000)]
+    got = exact_dedup.exact_dedup(make_docs(rows)).collect()
+    assert len(got) == 9000 and sum(not r.kept for r in got) == 2999
+    star = spark.createDataFrame([(0, i) for i in range(1, 5000)], "a long, b long")
+    roots = components.connected_components(star).collect()
+    assert len(roots) == 4999 and {r.root for r in roots} == {0}
 
 
 def test_components_of_a_path_and_a_star(spark):
