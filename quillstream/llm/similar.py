@@ -1,20 +1,30 @@
-"""Near-duplicates by resemblance: texts that share ``SIMILAR`` of their five-word shingles.
+"""SimHash near-duplicates by resemblance: texts that share ``SIMILAR`` of their five-word shingles.
 
 A text's set holds the hashes of its distinct shingles (of the whole text where it has at most
 ``SHINGLE`` words). Two texts link where the Jaccard similarity of their sets is at least
-``SIMILAR``. Candidates share one of ``BANDS`` keys, each made of ``ROWS`` minima; a pair at
-similarity 0.8 shares none with probability (1 - 0.8**5)**40 < 2e-7, a more similar one with less.
-Candidates that agree in fewer than ``AGREE`` of the minima (a byte of each is kept; at similarity 0.8
-that happens with probability below 2e-7) go; all others are checked exactly, on the sets of both texts.
-
-A key with up to ``SMALL`` texts gives all their pairs. A key with more gives, first, the pairs of
-all texts with ``PIVOTS`` of them; what these link is joined, and then all pairs of texts that
-still lie in different components. So a large group of near copies costs a few pairs for each
-text, while no pair across components goes unchecked. Pairs whose sizes alone rule the similarity
-out aren't made.
+``SIMILAR``; every link is verified on both sets.
+
+Fingerprints have 64 * ``WORDS`` bits, each the majority of a bit over the set. Sets of
+similarity 0.8 differ in 15 % of the bits (the angle between the sets, acos(0.889) / pi), so
+``RADIUS`` of 512 lies more than three standard deviations above their distance. Candidates come from the
+anchor covering of ``simhash``: each of the 16 blocks of 31 bits is replicated to the code words of the
+Hamming code (31, 26) within covering radius plus one. A pair at similarity 0.8 shares no anchor of
+any block with probability 0.03, at 0.85 with 0.005, at 0.9 below 0.0002; so that is the expected
+loss of recall (measured in the README).
+
+Equal fingerprints are one node. An anchor with up to ``SMALL`` nodes gives all pairs within the radius
+by one word of the fingerprints (``NEAR`` bits of 64, 3.6 standard deviations); one with more gives each
+node its nearest of a few pivots and neighbours in sorted order, within ``CLOSE`` bits, so at most one
+pair for each node, in chunks of bounded size. What a node doesn't meet in one anchor it meets in
+others (it has about 250; a pair at similarity 0.8 shares four on average). Candidates are tested in the order of
+Boruvka's minimum spanning forest: in each round every component proposes its nearest untested
+candidate outside, proposals are verified exactly, and accepted ones join components, until a
+round joins nothing; a component whose proposals failed ``TRIALS`` times only waits for others', as
+candidates farther by fingerprint are less similar still. So a group of n near copies costs a few verified pairs for each text, not n * n.
 
 Edge cases: null and blank texts are equal; rows without an id link to nothing and stay; rows of one
-id count as one document, which links where one of its texts does; further columns are ignored.
+id count as one document, that of its smallest text; further columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,21 +37,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids, written
+from .common import BROADCAST_IDS, attached, forget, per_text, texts_of, whole, without_ids, written
 from .components import connected_components
+from .simhash import BLOCK_BITS, anchors
 
 SHINGLE, SIMILAR = 5, 0.8
 SEED = 42
-BANDS, ROWS = 40, 5
-SMALL, PIVOTS = 64, 4
-#: Minima, of BANDS * ROWS, that similar texts have in common at least.
-AGREE = 128
-#: Shingles hashed at a time, so that the products stay in the cache.
-CHUNK = 512
-#: Texts sketched, and pairs made, at a time.
-BATCH, OUT = 1 << 10, 1 << 15
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
+WORDS = 8
+#: Differing bits, of all and of one word, up to which a pair is a candidate.
+RADIUS, NEAR = 104, 20
+#: The same for the one pair of a node in a large group.
+CLOSE = 14
+#: Groups up to so many nodes give all pairs; others are taken in chunks of CHUNK rows.
+SMALL, CHUNK, PIVOTS, NEIGHBOURS = 3, 1 << 16, 4, 4
+ROUNDS, TRIALS = 100, 3
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64)
+_MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_BITS, _LANES = np.arange(8, dtype=np.uint64)[None, :, None], np.uint64(0x0101010101010101)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,16 +68,19 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(join(g), SEED) for g in grams), np.uint64, len(words) - SHINGLE + 1))
 
 
-def sketch(shingled: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """A key for each band, and a byte of each minimum."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingled), CHUNK):
-        np.minimum(least, (_FACTORS[:, None] * shingled[at : at + CHUNK]).min(axis=1), out=least)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        h = (h ^ row) * _MIX
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64), (least >> np.uint64(8)).astype(np.uint8).tobytes()
+def fingerprint(shingled: np.ndarray) -> np.ndarray:
+    """WORDS words; a bit is 1 if it is set in over half the mixed hashes."""
+    total = np.zeros((8, WORDS, 8), np.int64)  # bit of a byte, word, byte
+    for at in range(0, len(shingled), 255):
+        x = (shingled[at : at + 255, None] ^ _SALTS) * _MIX
+        x ^= x >> np.uint64(32)
+        x *= _MIX2
+        x ^= x >> np.uint64(29)
+        # Up to 255 rows: each byte of a sum counts one bit.
+        lanes = ((x[:, None, :] >> _BITS) & _LANES).sum(axis=0)
+        total += lanes.view(np.uint8).reshape(8, WORDS, 8)
+    ones = (2 * total > len(shingled)).astype(np.uint8)
+    return np.packbits(ones.transpose(1, 2, 0), axis=2, bitorder="little").reshape(-1).view(np.uint64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,135 +88,153 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for at in range(0, len(b), BATCH):
-            part = b.iloc[at : at + BATCH]
-            n, keys, marks = np.zeros(len(part), np.int64), np.zeros((len(part), BANDS), np.int64), []
-            for i, text in enumerate(part["text"]):
-                shingled = shingles(text)
-                n[i] = len(shingled)
-                keys[i], mark = sketch(shingled)
-                marks.append(mark)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n": n, "keys": list(keys), "marks": marks})
+def _fingerprints(texts: list[str | None]) -> list:
+    return [[fingerprint(shingles(t)).tobytes() for t in texts]]
 
 
-def _marks(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BANDS * ROWS)
+def _words(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, WORDS)
 
 
-def _groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[np.ndarray]:
-    """The rows of each key, as columns of an array, marks eight by eight; a group may go over several batches."""
-    held: list[np.ndarray] = []
+def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """anchor, node, piece: a word of the fingerprint apart from the anchor's block."""
     for b in batches:
-        if not len(b):
-            continue
-        rows = np.stack([b[c].to_numpy(np.int64) for c in columns])
-        if "marks" in b:
-            rows = np.concatenate([rows, _marks(b["marks"]).view(np.int64).T])
-        if held and held[0][0, -1] == rows[0, -1]:
-            held.append(rows)
+        for start in range(0, len(b), 4096):
+            part = b.iloc[start : start + 4096]
+            node, words = part["node"].to_numpy(np.int64), _words(part["fp"])
+            for k in range(2 * WORDS):
+                block = (words[:, k // 2] >> np.uint64(32 * (k % 2))) & np.uint64((1 << BLOCK_BITS) - 1)
+                rows, at = anchors(block)
+                piece = words[:, (k // 2 + WORDS // 2) % WORDS].view(np.int64)
+                yield pd.DataFrame({"anchor": at.astype(np.int64) | (k << BLOCK_BITS), "node": node[rows], "piece": piece[rows]})
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).astype(np.int64)
+
+
+def _small_pairs(anchor: np.ndarray, node: np.ndarray, piece: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[list, list]:
+    left, right = [], []
+    for gap in range(1, SMALL):
+        at = np.flatnonzero((sizes <= SMALL) & (place + gap < sizes))
+        if not len(at):
+            break
+        at = at[_far(piece[at], piece[at + gap]) <= NEAR]
+        left.append(node[at])
+        right.append(node[at + gap])
+    return left, right
+
+
+def _nearest(node: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest of a few others, if within CLOSE."""
+    order = np.argsort(piece, kind="stable")
+    node, piece = node[order], piece[order]
+    n = len(node)
+    best, to = np.full(n, 65), np.zeros(n, np.int64)
+    others = [(np.arange(gap, n), np.arange(n - gap)) for gap in range(1, min(n, NEIGHBOURS + 1))]
+    others += [(np.flatnonzero(np.arange(n) != p), np.int64(p)) for p in np.linspace(0, n - 1, PIVOTS).astype(np.int64)]
+    for rows, other in others:
+        d = _far(piece[rows], piece[other])
+        nearer = d < best[rows]
+        best[rows[nearer]] = d[nearer]
+        to[rows[nearer]] = np.broadcast_to(node[other], len(rows))[nearer]
+    near = best <= CLOSE
+    return node[near], to[near]
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a < b: candidates of each anchor. Rows come sorted by anchor, taken in chunks."""
+
+    def chunks() -> Iterator[np.ndarray]:
+        held = np.zeros((3, 0), np.int64)
+        for b in batches:
+            held = np.concatenate([held, np.stack([b[c].to_numpy(np.int64) for c in ("anchor", "node", "piece")])], axis=1)
+            while held.shape[1] >= CHUNK:
+                # Whole anchors; an anchor beyond a chunk is taken in parts that share a row.
+                cut = int(np.searchsorted(held[0, :CHUNK], held[0, CHUNK - 1]))
+                yield held[:, : cut or CHUNK]
+                held = held[:, cut or CHUNK - 1 :]
+        yield held
+
+    for anchor, node, piece in chunks():
+        if not len(anchor):
             continue
-        rows = np.concatenate([*held, rows], axis=1)
-        cuts = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-        *whole, last = np.split(rows, cuts, axis=1) if len(cuts) else [rows]
-        yield from whole
-        held = [last]
-    if held:
-        yield np.concatenate(held, axis=1)
-
-
-def _fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.minimum(n, m) >= SIMILAR * np.maximum(n, m)
-
-
-def _paired(parts: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-    """Tables of rows (a, b, key, n) from arrays of them."""
-    held, size = [], 0
-    for part in parts:
-        held.append(np.stack(np.broadcast_arrays(*part)))
-        size += held[-1].shape[1]
-        if size >= OUT:
-            yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b", "key", "n"])
-            held, size = [], 0
-    if held:
-        yield pd.DataFrame(np.concatenate(held, axis=1).T, columns=["a", "b", "key", "n"])
-
-
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a < b, n = 0) of small groups and of pivots; members (a = b, key, n) of large groups."""
-
-    def parts() -> Iterator[tuple]:
-        for key, ids, n in _groups(batches, ["key", "doc_id", "n"]):
-            if len(ids) < 2:
-                continue
-            order = np.argsort(ids, kind="stable")
-            ids, n = ids[order], n[order]
-            large = len(ids) > SMALL
-            for i in range(PIVOTS if large else len(ids) - 1):
-                to = np.flatnonzero(_fits(n[i], n[i + 1 :]) & (ids[i + 1 :] > ids[i])) + i + 1
-                yield np.full(len(to), ids[i]), ids[to], 0, 0
-            if large:
-                yield ids, ids, key, n
-
-    return _paired(parts())
-
-
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of each large group that lie in different components."""
-
-    def parts() -> Iterator[tuple]:
-        for _, ids, n, root, *marks in _groups(batches, ["key", "doc_id", "n", "root"]):
-            marks = np.ascontiguousarray(np.stack(marks).T).view(np.uint8)
-            kinds, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
-            rank = np.argsort(np.argsort(-sizes, kind="stable"), kind="stable")[of]
-            # A text meets those of larger components.
-            for i in np.flatnonzero(rank > 0):
-                to = np.flatnonzero((rank < rank[i]) & _fits(n[i], n))
-                to = to[(marks[to] == marks[i]).sum(axis=1) >= AGREE]
-                yield np.minimum(ids[i], ids[to]), np.maximum(ids[i], ids[to]), 0, 0
-
-    return _paired(parts())
-
-
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece = piece.view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        own = np.diff(np.r_[starts, len(anchor)])
+        sizes, place = np.repeat(own, own), np.arange(len(anchor)) - np.repeat(starts, own)
+        left, right = _small_pairs(anchor, node, piece, sizes, place)
+        for g in np.flatnonzero(own > SMALL):
+            a, b = _nearest(node[starts[g] : starts[g] + own[g]], piece[starts[g] : starts[g] + own[g]])
+            left.append(a)
+            right.append(b)
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+def _distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
-            yield b.loc[(_marks(b["marks_a"]) == _marks(b["marks_b"])).sum(axis=1) >= AGREE, ["a", "b"]]
+            d = np.bitwise_count(_words(b["fp_a"]) ^ _words(b["fp_b"])).sum(axis=1, dtype=np.int64)
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "d": d})[d <= RADIUS]
 
 
 def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of = lru_cache(maxsize=32)(shingles)
+    of = lru_cache(maxsize=64)(shingles)
     for b in batches:
-        near = [similar(of(x), of(y)) for x, y in zip(b["text_a"], b["text_b"], strict=True)]
-        yield b.loc[near, ["a", "b"]]
+        yield b[["a", "b"]].assign(near=[similar(of(x), of(y)) for x, y in zip(b["text_a"], b["text_b"], strict=True)])
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """a, b, d: pairs of documents that may be similar, and the differing bits of their fingerprints."""
+    prints = per_text(texts_of(docs).filter("doc_id is not null"), {"fp": "binary"}, whole(_fingerprints))
+    prints = written(prints.groupBy("doc_id").agg(F.min("fp").alias("fp")), "wide_fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "wide_classes")
+    rows = nodes.mapInPandas(_replicate, "anchor long, node long, piece long")
+    met = rows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_pairs, "a long, b long")
+    met = written(met.distinct(), "met")
+    side = {s: nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}")) for s in "ab"}
+    apart = met.join(side["b"], "b").join(side["a"], "a").mapInPandas(_distances, "a long, b long, d long")
+    same = attached(prints, nodes, "fp", "n", prints.count()).filter("doc_id <> node")
+    return apart.unionByName(same.select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(0).cast("long").alias("d")))
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the pairs whose texts are similar."""
-    marks = {s: sketches.select(F.col("doc_id").alias(s), F.col("marks").alias(f"marks_{s}")) for s in "ab"}
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, near: whether the texts of the pairs are similar."""
     side = {s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    likely = pairs.select("a", "b").distinct().join(marks["b"], "b").join(marks["a"], "a").mapInPandas(_likely, "a long, b long")
-    known = written(likely.distinct(), "similar_pairs")
-    return written(known.join(side["b"], "b").join(side["a"], "a").mapInPandas(_checked, "a long, b long"), "similar_links")
+    return pairs.join(side["b"], "b").join(side["a"], "a").mapInPandas(_checked, "a long, b long, near boolean")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of the documents that link to one with a smaller id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    sketches = written(texts.mapInPandas(_sketches, "doc_id long, n long, keys array<long>, marks binary"), "sketches")
-    rows = sketches.select(F.explode("keys").alias("key"), "doc_id", "n")
-    grouped = rows.repartition("key").sortWithinPartitions("key")
-    found = written(grouped.mapInPandas(_candidates, "a long, b long, key long, n long"), "similar_candidates")
-    links = _links(found.filter("a < b"), sketches, texts)
-    members = found.filter("a = b").select("key", F.col("a").alias("doc_id"), "n")
-    if not members.isEmpty():
-        roots = connected_components(links).withColumnRenamed("node", "doc_id")
-        marked = members.join(sketches.select("doc_id", "n", "marks"), ["doc_id", "n"]).join(roots, "doc_id", "left")
-        placed = marked.select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"), "marks")
-        across = placed.repartition("key").sortWithinPartitions("key").mapInPandas(_across, "a long, b long, key long, n long")
-        links = links.unionByName(_links(across.filter("a < b"), sketches, texts))
-    roots = connected_components(links)
+    near = written(candidates(docs), "near")
+    ids = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near_ids")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    texts = texts_of(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = written(texts, "near_texts")
+    tested = docs.sparkSession.createDataFrame([], "a long, b long, near boolean")
+    roots = tested.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    spent = roots.select("root")
+    for _ in range(ROUNDS):
+        placed = near.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        for s in "ab":
+            placed = placed.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")), s, "left")
+            placed = placed.withColumn(f"r{s}", F.coalesce(f"r{s}", s))
+        outward = placed.filter("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("d", "a", "b").alias("edge"))
+        nearest = outward.groupBy("root").agg(F.min("edge").alias("e")).select("root", "e.a", "e.b")
+        done = spent.groupBy("root").count().filter(F.col("count") >= TRIALS).select("root")
+        proposed = written(nearest.join(done, "root", "left_anti"), "proposed")
+        fresh = written(_verified(proposed.select("a", "b").distinct(), texts), "verified")
+        if fresh.filter("near").isEmpty():
+            break
+        tested = tested.unionByName(fresh)
+        spent = spent.unionByName(proposed.join(fresh.filter("not near"), ["a", "b"]).select("root"))
+        roots = connected_components(tested.filter("near"))
+    else:
+        raise RuntimeError(f"near-duplicates didn't settle in {ROUNDS} rounds")
+    forget(texts)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")).filter("doc_id <> component_id")
 
 

@@ -40,23 +40,50 @@ def corpus():
     return rows + [(900, "a b", "en"), (901, "A  b", "en"), (902, "", "en"), (903, None, "en")]
 
 
-@pytest.mark.parametrize(("small", "pivots"), [(64, 4), (1, 1)])
-def test_the_stage_drops_texts_of_similarity_0_8(spark, make_docs, sf_dir, small, pivots, monkeypatch):
+@pytest.mark.parametrize("small", [3, 1])
+def test_the_stage_drops_texts_of_similarity_0_8(spark, make_docs, sf_dir, small, monkeypatch):
+    """Nothing is dropped wrongly, and at least nine tenths of what all pairs drop."""
     monkeypatch.setattr(similar, "SMALL", small)
-    monkeypatch.setattr(similar, "PIVOTS", pivots)
     rows = corpus()
-    kept = pipeline.drop_near_copies(spark, make_docs(rows), sf_dir)
-    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
-
-
-def test_a_chain_in_a_large_group_is_one_component(spark, make_docs, sf_dir, monkeypatch):
-    """Neighbours are similar, ends aren't: pairs beyond the pivots are needed."""
-    monkeypatch.setattr(similar, "SMALL", 3)
-    monkeypatch.setattr(similar, "PIVOTS", 1)
-    words = [f"w{k}" for k in range(200)]
-    rows = [(i, " ".join(words[i * 6 : i * 6 + 80]), "en") for i in range(12)]
-    kept = pipeline.drop_near_copies(spark, make_docs(rows), sf_dir)
-    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows) == [0]
+    kept = {r.doc_id for r in pipeline.drop_near_copies(spark, make_docs(rows), sf_dir).collect()}
+    want = set(brute_kept(rows))
+    assert want <= kept
+    assert len(kept - want) <= 0.1 * (len(rows) - len(want))
+
+
+def test_fingerprint_is_the_majority_of_mixed_hashes():
+    import numpy as np
+
+    for n in (1, 5, 254, 255, 256, 700):
+        shingled = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64))
+        x = (shingled[:, None] ^ similar._SALTS) * similar._MIX
+        x ^= x >> np.uint64(32)
+        x *= similar._MIX2
+        x ^= x >> np.uint64(29)
+        want = [sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x[:, w]) > len(x)) for w in range(similar.WORDS)]
+        assert similar.fingerprint(shingled).tolist() == want
+
+
+def test_similar_texts_lie_within_the_radius():
+    rng = random.Random(5)
+    for n in (30, 200, 1000):
+        words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        for _ in range(20):
+            other = list(words)
+            while True:
+                other[rng.randrange(n)] = f"n{rng.random()}"
+                a, b = similar.shingles(" ".join(words)), similar.shingles(" ".join(other))
+                if not similar.similar(a, b):
+                    break
+                d = sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(similar.fingerprint(a), similar.fingerprint(b), strict=True))
+                assert d <= similar.RADIUS
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark, make_docs, sf_dir):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    rows = [(i, edited(words, {rng.randrange(300)}), "en") for i in range(400)]
+    assert [r.doc_id for r in pipeline.drop_near_copies(spark, make_docs(rows), sf_dir).collect()] == [0]
 
 
 def test_rows_without_id_stay(spark, make_docs, odd, empty, sf_dir):
