@@ -18,10 +18,13 @@ bitmap of the benchmark's hashes. The bitmap has ``FILTER_BITS`` bits whatever t
 benchmark's size; a fuller bitmap only lets more windows reach the join. Neither side of the
 join is broadcast by hand.
 
-Edge cases: null and empty texts have no windows; items of fewer than ``SHORTEST`` tokens
-match nothing, items shorter than a window are one window of their length; repeated rows of a
-document count as one document; empty tables give an empty result; further columns are
-ignored.
+Items shorter than a window are one window of their length. Those of fewer than ``SHORTEST`` tokens
+have too few words for a template: they match, token for token as written but for case, where the
+document has them as a sentence or line of their own, or several.
+
+Edge cases: null and empty texts have no windows, and items without a token match nothing;
+repeated rows of a document count as one document, and rows without an id aren't judged; empty
+tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,17 +104,19 @@ class Canonicaliser:
             flags.append(self.flags[at])
         return np.concatenate(codes), np.concatenate(flags)
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens, the places of words among them, template codes and flags of ordinary words."""
+    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens, the places of words among them, template codes, flags of ordinary words and of
+        words that open and that close a sentence (1, 2)."""
         tokens = _TOKEN.findall(text or "")
         codes, flags = self._of(tokens)
         words = np.flatnonzero(flags != self.STOP)
-        opens = np.r_[True, flags[:-1] == self.STOP][words] if len(tokens) else np.zeros(0, bool)
+        stops = np.r_[True, flags == self.STOP, True]
+        opens, closes = stops[:-2][words], stops[2:][words]
         codes, flags = codes[words], flags[words]
         plain = (flags & self.PLAIN) > 0
         name = plain & ~opens & ((flags & self.CAPITAL) > 0)
         codes[name] = self.name
-        return tokens, words, codes, plain & ~name
+        return tokens, words, codes, plain & ~name, opens + 2 * closes.astype(np.int8)
 
 
 @lru_cache(maxsize=1)
@@ -139,6 +144,16 @@ def window_hashes(codes: np.ndarray, plain: np.ndarray, size: int, exact: Callab
     return np.arange(n), h.view(np.int64)
 
 
+def sentence_hashes(edges: np.ndarray, size: int, exact: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes, as written, of the windows of ``size`` tokens that are whole sentences."""
+    n = max(0, len(edges) - size + 1)
+    at = np.flatnonzero((edges[:n] & 1 > 0) & (edges[len(edges) - n :] & 2 > 0))
+    own = np.unique((at[:, None] + np.arange(size)).ravel())
+    written = np.zeros(len(edges), np.uint64)
+    written[own] = exact(own)
+    return at, (_hashed(written, at, size) ^ np.uint64(0x5E17E7CE)).view(np.int64)
+
+
 def _hashed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     h = np.full(len(starts), size, np.uint64)
     for k in range(size):
@@ -147,6 +162,10 @@ def _hashed(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def _windows(codes: np.ndarray, plain: np.ndarray, edges: np.ndarray, size: int, exact: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return sentence_hashes(edges, size, exact) if size < SHORTEST else window_hashes(codes, plain, size, exact)
+
+
 _code_of = lru_cache(maxsize=1 << 16)(_code)
 
 
@@ -168,13 +187,13 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for item, text in zip(b["item_id"], b["text"], strict=True):
-                tokens, words, codes, plain = canon(text)
-                if len(words) >= SHORTEST:
+                tokens, words, codes, plain, edges = canon(text)
+                if len(words):
                     size = min(WINDOW, len(words))
                     held = np.r_[0, np.cumsum(plain)]
                     literals = held[size:] - held[: len(words) - size + 1]
                     anchored = int((literals > 0).sum())
-                    for at, h in zip(*window_hashes(codes, plain, size, _exact(tokens, words)), strict=True):
+                    for at, h in zip(*_windows(codes, plain, edges, size, _exact(tokens, words)), strict=True):
                         rows.append((h, item, at, size, len(words), _surface(tokens, words, plain, at, size), plain[at : at + size].tolist(), int(literals[at]), anchored))
             yield pd.DataFrame(rows, columns=["hash", "item_id", "place", "size", "item_tokens", "item_words", "item_plain", "literals", "anchored"])
 
@@ -205,9 +224,9 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFr
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                tokens, words, codes, plain = canon(text)
+                tokens, words, codes, plain, edges = canon(text)
                 for size in sizes:
-                    at, h = window_hashes(codes, plain, size, _exact(tokens, words))
+                    at, h = _windows(codes, plain, edges, size, _exact(tokens, words))
                     slot = h & (FILTER_BITS - 1)
                     hit = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
                     rows += [(h[k], doc, at[k], _surface(tokens, words, plain, at[k], size)) for k in hit]
@@ -240,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ]
 
     anchored = F.col("literals") > 0
-    aligned = matched.filter(anchored | F.col("exact")).groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
+    aligned = matched.filter(F.col("exact") | anchored & (F.col("size") >= SHORTEST)).groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
         *collected("dense", dense), *collected("sure", dense | F.col("exact")), *collected("exact", F.col("exact")), *collected("all", F.lit(True)),
         F.count_distinct(F.when(anchored, F.col("place"))).alias("found"), F.max("anchored").alias("anchored"), F.max("item_tokens").alias("item_tokens"),
     )
@@ -251,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     nothing = F.expr("array() :: array<struct<place: int, size: int>>")
     counted = F.concat(
-        *(F.when(consistent(k), F.col(f"{k}_places")).otherwise(nothing) for k in ("dense", "sure", "exact")),
+        *(F.when(consistent("dense") & consistent(k), F.col(f"{k}_places")).otherwise(nothing) for k in ("dense", "sure", "exact")),
         F.when(consistent("all") & (F.col("anchored") > 0) & (F.col("found") == F.col("anchored")), F.col("all_places")).otherwise(nothing),
     )
     pairs = aligned.withColumn("places", F.array_distinct(counted)).filter("size(places) > 0").groupBy("doc_id", "item_id").agg(
