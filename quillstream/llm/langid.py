@@ -8,8 +8,8 @@ landmark and language. Scoring multiplies a block of presence rows with the land
 and the result with the weights: two matrix products for each block of ``BLOCK`` texts.
 
 The classifier is fitted on at most ``FIT_ROWS`` labelled rows, as many for each language;
-each comes to the driver as its ``DIMENSIONS`` / 8 bytes of presence bits. All texts are
-scored whole.
+each comes to the driver as its ``DIMENSIONS`` / 8 bytes of presence bits (10 MB in all; rows that
+repeat an id and a language count once). All texts are scored whole.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without training
 rows all are; rows without lang don't train; ties go to the language that sorts first;
@@ -22,15 +22,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, held_out, per_text, texts_of
 
 FIT_ROWS, LANDMARKS = 2_400, 192
 ORDERS = (1, 2, 3)
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 15
 RIDGE = 0.05
 #: Sharpness of the softmax that turns regression outputs into a score.
 SHARPNESS = 6.0
@@ -59,12 +58,10 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b[[has_letter(t) for t in b["text"]]]
-        bits = [np.packbits(presence(t)).tobytes() for t in b["text"]]
-        if bits:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "bits": bits})
+def _packed(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
+    for i, t in enumerate(texts):
+        if has_letter(t):
+            yield i, i + 1, [[np.packbits(presence(t)).tobytes()]]
 
 
 def training_rows(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> list:
@@ -80,7 +77,9 @@ def training_rows(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> l
     near = known.filter(F.pmod(order, F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     ids = near.select("doc_id", "lang", first.alias("k")).filter(F.col("k") <= each).select("doc_id", "lang")
-    rows = known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).mapInPandas(_packed, "doc_id long, lang string, bits binary")
+    chosen = known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"])
+    packed = per_text(texts_of(chosen, F.col("lang").cast("string").alias("lang")), {"bits": "binary"}, _packed)
+    rows = packed.groupBy("doc_id", "lang").agg(F.min("bits").alias("bits"))
     return sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"]))
 
 
@@ -130,20 +129,15 @@ def language_predictions(docs: DataFrame, parts: int = 3, held: int = 1) -> Data
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``."""
     model = Kernel(training_rows(docs, fold(F.col("doc_id"), parts) != held))
 
-    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([*model.langs, UNDETERMINED], object)
-        for b in batches:
-            lang, score = np.full(len(b), len(names) - 1), np.zeros(len(b))
-            texts = b["text"].tolist()
-            known = np.array([i for i, t in enumerate(texts) if model.langs and has_letter(t)], np.int64)
-            for at in range(0, len(known), BLOCK):
-                rows = known[at : at + BLOCK]
-                lang[rows], score[rows] = model.predict(np.stack([presence(texts[i]) for i in rows]))
-            yield b[["doc_id", "held_out"]].assign(lang_pred=names[lang], score=score)
-
-    inputs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
-    )
-    return inputs.mapInPandas(classify, "doc_id long, held_out boolean, lang_pred string, score double")
+    names = [*model.langs, UNDETERMINED]
+
+    def classify(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
+        for start in range(0, len(texts), BLOCK):
+            part = texts[start : start + BLOCK]
+            lang, score = np.full(len(part), len(names) - 1), np.zeros(len(part))
+            known = np.array([i for i, t in enumerate(part) if model.langs and has_letter(t)], np.int64)
+            if len(known):
+                lang[known], score[known] = model.predict(np.stack([presence(part[i]) for i in known]))
+            yield start, start + len(part), [[names[k] for k in lang], score]
+
+    return per_text(texts_of(docs, held_out(parts, held)), {"lang_pred": "string", "score": "double"}, classify)

@@ -5,8 +5,9 @@ punctuation, and its shape (letter runs as ``A`` or ``a``, digit runs as ``0``,
 characters as they are, runs cut to three). Features are hashed uni- and bigrams of the words and uni-, bi- and
 trigrams of the shapes, plus one for a word that repeats its predecessor; a document's
 vector holds log(1 + count), scaled to length 1. Fitting follows the regularised leader
-(FTRL-Proximal, per-coordinate rates, L1 and L2) over at most ``FIT_ROWS`` labelled rows, in
-one task that returns the non-zero weights (at most ``DIMENSIONS``). Scoring is a sparse dot
+(FTRL-Proximal, per-coordinate rates, L1 and L2) over at most ``FIT_ROWS`` labelled rows, whose
+sparse vectors (at most ``DIMENSIONS`` entries each, made where the texts are) meet in one task that
+returns the non-zero weights (at most ``DIMENSIONS``). Scoring is a sparse dot
 product per document over its whole text.
 
 Edge cases: null and empty texts have only the bias; without labelled rows of both classes
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, held_out, per_text, texts_of
 from .sampling import labelled_sample, sampled_texts
 
 #: Bound on the labelled rows to fit on, half of it for either class.
@@ -124,11 +125,19 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray
     return w, bias()
 
 
+def _sparse(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
+    of = features()
+    for at, text in enumerate(texts):
+        index, value = of(text)
+        yield at, at + 1, [[index.astype("<u4").tobytes()], [value.astype("<f4").tobytes()]]
+
+
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of, rows = features(), []
+    rows = []
     for b in batches:
-        rows += [(d, *of(t), int(y)) for d, t, y in zip(b["doc_id"], b["text"], b["y"], strict=True)]
-    rows.sort(key=lambda r: (crc32(str(r[0]).encode()), r[0]))
+        vectors = ((np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(b["i"], b["v"], strict=True))
+        rows += [(int(d), *x, int(y)) for d, y, x in zip(b["doc_id"], b["y"], vectors, strict=True)]
+    rows.sort(key=lambda r: (crc32(str(r[0]).encode()), r[0], r[3], r[1].tobytes()))
     w, b = fit_ftrl([r[1:] for r in rows])
     index = np.flatnonzero(w)
     yield pd.DataFrame({"i": [-1, *index.tolist()], "w": [b, *w[index].tolist()]})
@@ -143,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> tuple[
         return *none, math.log(share / (1 - share))
     half = FIT_ROWS // 2
     shift = math.log(sizes[1] / min(half, sizes[1])) - math.log(sizes[0] / min(half, sizes[0]))
-    rows = sampled_texts(docs, sample).coalesce(1).mapInPandas(_fit, "i long, w double").collect()
+    vectors = per_text(sampled_texts(docs, sample).select("doc_id", "y", "text"), {"i": "binary", "v": "binary"}, _sparse)
+    rows = vectors.repartition(1).mapInPandas(_fit, "i long, w double").collect()
     bias = next((r["w"] for r in rows if r["i"] < 0), 0.0) + shift
     rows = [r for r in rows if r["i"] >= 0]
     return np.array([r["i"] for r in rows], np.int64), np.array([r["w"] for r in rows]), bias
@@ -153,21 +163,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", p
     """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
     index, weight, bias = fit(docs, labels, label, fold(F.col("doc_id"), parts) != held)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
         of, w = features(), np.zeros(DIMENSIONS)
         w[index] = weight
-        for b in batches:
-            s = np.empty(len(b))
-            for k, text in enumerate(b["text"]):
-                i, v = of(text)
-                s[k] = w[i] @ v + bias
-            p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            out = b[["doc_id", "held_out"]].assign(score=p)
-            yield out.assign(predicted=(out["score"] >= 0.5).astype("int32"))
-
-    inputs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
-    )
-    return inputs.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+        s = np.empty(len(texts))
+        for k, text in enumerate(texts):
+            i, v = of(text)
+            s[k] = w[i] @ v + bias
+        p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+        yield 0, len(texts), [p, (p >= 0.5).astype(np.int32)]
+
+    return per_text(texts_of(docs, held_out(parts, held)), {"score": "double", "predicted": "int"}, score)
