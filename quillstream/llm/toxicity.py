@@ -13,11 +13,15 @@ Calibration. The greatest segment score S of a clean text of n tokens follows an
 extreme-value law P(S < x) = exp(-E), E = K n e^(-L x). L solves sum p(w) e^(L s(w)) = 1 over
 the clean distribution, K is its maximum-likelihood value on clean documents that the weights
 weren't counted on. A segment is significant if E, the number of such segments that chance
-gives a clean text of its length, is at most ``E_MAX``. The score of a document is a logistic
-function of ln E of its best segment, fitted to all the documents set aside, at the natural
-share of the classes.
+gives a clean text of its length, is at most ``E_MAX``. All segments of a text are aggregated by
+the sum statistics of Karlin and Altschul: with t the sum of the r best normalised scores
+L S - ln(K n), chance gives E_r = e^-t t^(r-1) / (r! (r-1)!) such sums, doubled for every segment
+beyond the first as r is chosen. The score of a document is a logistic function of the least
+ln E_r, fitted to all the documents set aside, at the natural share of the classes.
 
-The classifier is fitted on at most ``FIT_ROWS`` labelled rows; all texts are scored whole.
+The classifier is fitted on at most ``FIT_ROWS`` labelled rows; all texts are scored whole. Every
+token that passes the tests above has a weight: at least ``MIN_DOCS`` of those rows hold it, so their
+number is bounded by the sample.
 
 Edge cases: null and empty texts score 0; without labels of both classes nothing is
 significant and all scores are 0; repeated rows are scored each; further columns are ignored.
@@ -36,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, held_out, per_text, texts_of, written
 from .sampling import labelled_sample, sampled_texts
 
 #: Bound on the labelled rows to fit on, half of it for either class.
@@ -45,8 +49,6 @@ PRIOR, FLOOR = 500.0, 0.5
 Z_MIN, MIN_ODDS, MIN_DOCS = 3.5, 1.5, 4
 #: Letters of a token that may stand for it, the most first.
 STEMS = (6, 5, 4)
-#: Bound on the tokens and stems with a weight of their own (those of the largest |z|).
-MAX_TOKENS = 50_000
 #: Expected number of chance segments up to which a segment is significant.
 E_MAX = 0.01
 
@@ -135,9 +137,7 @@ def weighted_steps(words: list[str], model: Model) -> list[tuple[int, int, float
 
 def passages(text: str | None, model: Model) -> list[tuple[int, int, float, float]]:
     """Every significant passage: first token, token after the last, score, expected number."""
-    words = tokens(text)
-    found = [(s, e, x, model.expected(x, len(words))) for s, e, x in segments(weighted_steps(words, model))]
-    return [p for p in found if p[3] <= E_MAX]
+    return judged(text, model)[1]
 
 
 def best_log_e(text: str | None, model: Model) -> float:
@@ -147,11 +147,38 @@ def best_log_e(text: str | None, model: Model) -> float:
     return math.log(model.k * max(len(words), 1)) - model.lam * top if top > 0 else math.inf
 
 
-def score(text: str | None, model: Model) -> float:
-    e = best_log_e(text, model)
-    if e == math.inf:
+def aggregated(scores: list[float], n: int, model: Model) -> float:
+    """The least ln E_r over the r best segment scores of a text of n tokens (infinite without any)."""
+    best, total = math.inf, 0.0
+    base = math.log(model.k * max(n, 1))
+    for r, x in enumerate(sorted(scores, reverse=True), 1):
+        total += model.lam * x - base
+        if r == 1:
+            best = -total
+        elif total <= r * (r - 1):  # the law holds for large sums alone
+            break
+        else:
+            e = (r - 1) * math.log(total) - total - math.lgamma(r + 1) - math.lgamma(r) + (r - 1) * math.log(2)
+            best = min(best, e)
+    return best
+
+
+def judged(text: str | None, model: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
+    """ln E of all segments together, and the significant passages."""
+    words = tokens(text)
+    found = segments(weighted_steps(words, model))
+    each = [(s, e, x, model.expected(x, len(words))) for s, e, x in found]
+    return aggregated([x for *_, x in found], len(words), model), [p for p in each if p[3] <= E_MAX]
+
+
+def probability(log_e: float, model: Model) -> float:
+    if log_e == math.inf:
         return 0.0
-    return 1 / (1 + math.exp(-max(-35.0, min(35.0, model.bias - model.slope * e))))
+    return 1 / (1 + math.exp(-max(-35.0, min(35.0, model.bias - model.slope * log_e))))
+
+
+def score(text: str | None, model: Model) -> float:
+    return probability(judged(text, model)[0], model)
 
 
 def _keys(token: str) -> list[str]:
@@ -211,10 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model:
         counts.filter(F.col("d") >= MIN_DOCS)
         .select("token", "n0", "n1", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
         .filter((F.abs("z") >= Z_MIN) & (F.abs("odds") >= MIN_ODDS))
-        .orderBy(F.abs("z").desc(), "token")
-        .limit(MAX_TOKENS)
         .collect()
     )
+    kept.sort(key=lambda r: (-abs(r["z"]), r["token"]))
     weights = {r["token"]: r["odds"] for r in kept}
     # A stem's mass holds that of its tokens with weights of their own; stems first, the shortest first.
     mass0, mass1 = ({r["token"]: r[c] / t for r in kept} for c, t in (("n0", t0), ("n1", t1)))
@@ -228,19 +254,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Model:
     lam = _solve(np.array([other, *weights.values()]), mass / mass.sum())
     draft = Model(Weights(weights), other, lam, 1.0)
 
+    aside = texts.filter(calibrates)
+
     def extremes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n = [max(len(tokens(t)), 1) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "n": n, "e": [best_log_e(t, draft) for t in b["text"]]})
+            yield pd.DataFrame({"n": n, "e": [best_log_e(t, draft) for t in b["text"]]})
 
-    # Three numbers for each row set aside, a quarter of FIT_ROWS at most.
-    held = texts.filter(calibrates).mapInPandas(extremes, "y int, n long, e double").toPandas()
-    clean = held[held["y"] == 0]
+    # A few numbers for each row set aside, a quarter of FIT_ROWS at most.
+    clean = aside.filter("y = 0").mapInPandas(extremes, "n long, e double").toPandas()
     chance = float(np.where(np.isinf(clean["e"]), clean["n"], np.exp(clean["e"].clip(upper=700))).sum())
     k = len(clean) / chance if chance > 0 else 1.0
+    known = Model(Weights(weights), other, lam, k)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "e": [judged(t, known)[0] for t in b["text"]]})
+
+    held = aside.mapInPandas(sums, "y int, e double").toPandas()
     natural = {y: sizes[y] / max(1, (held["y"] == y).sum()) for y in (0, 1)}
     found = held[np.isfinite(held["e"])]
-    bias, slope = _logistic(found["e"].to_numpy() + math.log(k), found["y"].to_numpy(), found["y"].map(natural).to_numpy(float))
+    bias, slope = _logistic(found["e"].to_numpy(), found["y"].to_numpy(), found["y"].map(natural).to_numpy(float))
     return Model(Weights(weights), other, lam, k, bias, slope)
 
 
@@ -258,20 +292,20 @@ def _logistic(e: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
+    """doc_id, held_out, score, predicted, passages, passage_tokens: one row for each row of ``docs``.
+
+    passages: the number of significant passages; passage_tokens: the tokens in them.
+    """
     model = fit(docs, labels, label, fold(F.col("doc_id"), parts) != held)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.array([score(t, model) for t in b["text"]], float)
-            yield b[["doc_id", "held_out"]].assign(score=s, predicted=(s >= 0.5).astype("int32"))
+    def run(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
+        made = [judged(t, model) for t in texts]
+        s = np.array([probability(e, model) for e, _ in made], float)
+        lengths = [sum(e - b for b, e, *_ in p) for _, p in made]
+        yield 0, len(texts), [s, (s >= 0.5).astype(np.int32), [len(p) for _, p in made], lengths]
 
-    inputs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)).alias("held_out"),
-        F.col("text").cast("string").alias("text"),
-    )
-    return inputs.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    added = {"score": "double", "predicted": "int", "passages": "long", "passage_tokens": "long"}
+    return per_text(texts_of(docs, held_out(parts, held)), added, run)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held: int = 0) -> DataFrame:
@@ -288,11 +322,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", part
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, first_token, end_token, score, expected: every significant passage of every text."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, *p) for d, t in zip(b["doc_id"], b["text"], strict=True) for p in passages(t, model)]
-            yield pd.DataFrame(rows, columns=["doc_id", "first_token", "end_token", "score", "expected"])
+    def find(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
+        for i, t in enumerate(texts):
+            for p in passages(t, model):
+                yield i, i + 1, [[x] for x in p]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        find, "doc_id long, first_token long, end_token long, score double, expected double"
-    )
+    return per_text(texts_of(docs), {"first_token": "long", "end_token": "long", "score": "double", "expected": "double"}, find)
