@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,25 +192,32 @@ def _block(doc_ids: list, held: list, learn: list, lengths: list, ids: list[np.n
 def blocks(docs: DataFrame, parts: int, held: int) -> DataFrame:
     """The texts as token numbers, in blocks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in BLOCK.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [c.split() for c in BLOCK.split(", ")]
+        schema = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in kinds])
+
+        def made() -> pa.RecordBatch:
+            row = _block(doc_ids, is_held, learn, lengths, ids, vocabulary)
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
         doc_ids, is_held, learn, lengths, ids, vocabulary, size = [], [], [], [], [], {}, 0
         for b in batches:
-            for doc, h, t, text in zip(b["doc_id"], b["held_out"], b["learn"], b["text"], strict=True):
+            # Ids come as Python numbers: 64 bits whatever stands beside them.
+            for doc, h, t, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "held_out", "learn", "text")), strict=True):
                 words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
                 words.append(END)
                 number = vocabulary.setdefault
                 ids.append(np.fromiter((number(w, len(vocabulary)) for w in words), np.int32, len(words)))
-                doc_ids.append(None if pd.isna(doc) else int(doc))
-                is_held.append(bool(h))
-                learn.append(bool(t))
+                doc_ids.append(doc)
+                is_held.append(h)
+                learn.append(t)
                 lengths.append(len(words))
                 size += len(text or "")
                 if size >= BLOCK_CHARS:
-                    yield pd.DataFrame([_block(doc_ids, is_held, learn, lengths, ids, vocabulary)], columns=columns)
+                    yield made()
                     doc_ids, is_held, learn, lengths, ids, vocabulary, size = [], [], [], [], [], {}, 0
         if ids:
-            yield pd.DataFrame([_block(doc_ids, is_held, learn, lengths, ids, vocabulary)], columns=columns)
+            yield made()
 
     out = fold(F.col("doc_id"), parts) == held
     inputs = docs.select(
@@ -218,7 +226,7 @@ def blocks(docs: DataFrame, parts: int, held: int) -> DataFrame:
         F.coalesce(~out, F.lit(False)).alias("learn"),
         F.col("text").cast("string").alias("text"),
     )
-    return inputs.mapInPandas(run, BLOCK)
+    return inputs.mapInArrow(run, BLOCK)
 
 
 # ---------------------------------------------------------------- order 1: requests and answers
