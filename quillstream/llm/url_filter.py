@@ -6,14 +6,15 @@ a block rule fits the rejected one. Each corpus gives a character model of varia
 Witten-Bell smoothing lets a context of two characters fall back on one and on none in
 proportion to how often new characters followed it. A URL (host and path, over an alphabet of
 32 symbols) scores the mean log-likelihood difference per character. The threshold is
-calibrated on the two corpora: the point between their mean scores that lies as many standard
-deviations from either.
+calibrated on URLs that the models weren't counted on, one in ``HELD`` of either corpus by a hash: the
+point between their mean scores that lies as many standard deviations from either.
 
 DataFrame operations only. The two models fold into one table of 32**3 = 32,768 differences,
 whatever the corpora's size; it is broadcast to the n-grams of the URLs, which are summed up
 within the task that made them.
 
-Edge cases: a null URL or one without ``://`` has an empty host and path and is scored as the
+Edge cases: equal URLs fall on the same side of the split; where it leaves a corpus without calibration
+URLs, the others count for it; a null URL or one without ``://`` has an empty host and path and is scored as the
 empty string; if a corpus is empty the difference is 0 and the threshold 0, so that URLs
 without a rule are allowed; an empty table gives an empty result; repeated rows are judged
 each; further columns are ignored.
@@ -41,6 +42,8 @@ CODES = SYMBOLS**3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Pseudo counts of each symbol in the lowest order.
 FLOOR = 0.5
+#: One decided URL in so many calibrates the threshold instead of counting.
+HELD = 5
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -114,7 +117,8 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
         return df.withColumns({"rule": _rule(rules, lambda h, p, v: h + p), "decided": _rule(rules, lambda h, p, v: v)})
 
     urls = with_codes(parts(pages))
-    judged = ruled(urls).filter("decided is not null").select(F.col("decided").alias("verdict"), "codes")
+    aside = F.pmod(F.xxhash64(F.lit(11), "host", "path"), F.lit(HELD)) == 0
+    judged = ruled(urls).filter(F.col("decided").isNotNull() & ~aside).select(F.col("decided").alias("verdict"), "codes")
     differences = written(model(judged), "url_model")
     # The model has CODES rows by construction. A URL's codes lie in one task, where they are
     # summed up again before anything moves; repeated rows come apart again afterwards.
@@ -125,9 +129,14 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
         .agg(F.avg("d").alias("llr"), F.count("*").alias("rows"))
     )
     scored = written(ruled(scored).withColumn("rows", F.expr("rows div n")).drop("n"), "url_scores")
-    stats = scored.filter("decided is not null").groupBy(F.col("decided").alias("verdict")).agg(
-        F.avg("llr").alias("m"), F.coalesce(F.stddev_pop("llr"), F.lit(0.0)).alias("s"), F.count("*").alias("n")
+    known = scored.filter("decided is not null").groupBy(F.col("decided").alias("verdict"), aside.alias("aside")).agg(
+        F.sum(F.col("llr") * F.col("rows")).alias("s1"), F.sum(F.col("llr") * F.col("llr") * F.col("rows")).alias("s2"), F.sum("rows").alias("n")
     )
+    # The sums of the URLs set aside, or of the others where there are none.
+    best = known.groupBy("verdict").agg(F.max(F.struct("aside", "s1", "s2", "n")).alias("k")).select("verdict", "k.*")
+    mean = F.col("s1") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean))
+    stats = best.select("verdict", mean.alias("m"), spread.alias("s"), "n")
     pick = lambda v, c: F.max(F.when(F.col("verdict") == v, F.col(c)))
     ma, sa, mb, sb = pick("allow", "m"), pick("allow", "s"), pick("block", "m"), pick("block", "s")
     between = F.when(sa + sb > 0, (ma * sb + mb * sa) / (sa + sb)).otherwise((ma + mb) / 2)
