@@ -1,8 +1,8 @@
 """Numbers and dates of a text as a multiset, and their equality across languages.
 
 Canonical form: a date as ``date:YYYY-MM-DD``; a number without thousands commas, plus sign,
-leading zeros and trailing fractional zeros. A multiple of ten keeps its zeros, so that it can
-be reconciled with a written number.
+leading zeros, exponent and trailing fractional zeros (1e3 is 1000). A multiple of ten keeps its
+zeros, so that it can be reconciled with a written number.
 """
 
 from __future__ import annotations
@@ -70,6 +70,9 @@ def canonical_number(token: Column) -> Column:
         return F.when(value.rlike(r"^[-+]?\d+(\.\d+)?$"), F.concat(sign, whole, fraction)).otherwise(F.lower(value))
 
     value = F.regexp_replace(token, "[%‰]$", "")
+    # Exponents beyond what a decimal of 38 digits holds stay as written.
+    long = F.when(value.rlike(r"^[-+]?\d+(\.\d+)?[eE][-+]?\d+$"), value.try_cast("decimal(38,18)").cast("string"))
+    value = F.coalesce(long, value)
     bare = F.when(value.rlike(r"^[-+]?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(value, F.lit(","), F.lit(""))).otherwise(value)
     return F.concat(let(bare, canonical), F.regexp_extract(token, "([%‰]?)$", 1))
 
@@ -93,30 +96,63 @@ def numbers(text: Column) -> Column:
     return let(plain(text), lambda bare: staged(bare, DATES))
 
 
-def _written_patterns() -> dict[str, str]:
-    """For 0 to 99: pattern of the number written out in English or before a Chinese counted word."""
-    out = {}
-    for n in range(100):
-        english = SMALL[n] if n < 20 else TENS[n // 10 - 2] + (rf"[-\s]+{SMALL[n % 10]}" if n % 10 else "")
-        chinese = DIGITS[n] if n < 10 else (DIGITS[n // 10] if n >= 20 else "") + "十" + (DIGITS[n % 10] if n % 10 else "")
-        out[str(n)] = rf"(?i)\b{english}\b|(?<![零一二三四五六七八九十百千万\d]){chinese}(?=[{COUNTED}])"
-    return out
+#: English number words below 100, one or two of them; Chinese ones before a counted word.
+ENGLISH = rf"(?i)\b(?:(?:{'|'.join(TENS)})(?:[-\s]+(?:{'|'.join(SMALL[1:10])})\b)?|{'|'.join(sorted(SMALL, key=len, reverse=True))})\b"
+CHINESE = rf"(?<![{DIGITS}十百千万\d])([{DIGITS[2:]}]?十[{DIGITS[1:]}]?|[{DIGITS}])(?=[{COUNTED}])"
+VALUES = dict(zip([*SMALL, *TENS], [*range(20), *range(20, 100, 10)], strict=True))
+
+
+def written_numbers(text: Column) -> Column:
+    """array<string>: the numbers below 100 that stand written out, repeats included.
+
+    One search for each language. "twenty-one" is 21, and 20 and 1 as well, as the words are all there.
+    """
+    table = F.create_map(*(F.lit(x) for pair in VALUES.items() for x in pair))
+
+    def english(found: Column) -> Column:
+        values = F.transform(F.split(F.lower(found), r"[-\s]+"), lambda w: F.call_function("try_element_at", table, w))
+        return F.when(F.size(values) > 1, F.concat(values, F.array(values[0] + values[1]))).otherwise(values)
+
+    def chinese(found: Column) -> Column:
+        digit = lambda c: F.call_function("locate", c, F.lit(DIGITS)) - 1
+        before, after = F.substring_index(found, "十", 1), F.substring_index(found, "十", -1)
+        tens = F.when(before == "", F.lit(1)).otherwise(digit(before))
+        units = F.when(after == "", F.lit(0)).otherwise(digit(after))
+        return F.when(found.contains("十"), tens * 10 + units).otherwise(digit(found))
+
+    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENGLISH), F.lit(0)), english))
+    signs = F.transform(F.regexp_extract_all(text, F.lit(CHINESE), F.lit(1)), chinese)
+    return F.transform(F.concat(words, signs), lambda n: n.cast("string"))
 
 
 def written_count(text: Column, token: Column) -> Column:
     """How often the number below 100 stands written out in the text; 0 for other tokens."""
-    table = F.create_map(*(F.lit(x) for pair in _written_patterns().items() for x in pair))
-    return F.coalesce(F.regexp_count(text, F.call_function("try_element_at", table, token)), F.lit(0))
+    return F.size(F.filter(written_numbers(text), lambda n: n == token))
 
 
-def surplus(left: Column, right: Column) -> Column:
-    """Multiset difference: the elements of ``left`` that ``right`` hasn't, each as often as it has more."""
+#: Stands between an element and its number among equal ones.
+_MARK = "\u0001"
 
-    def count(a: Column, x: Column) -> Column:
-        return F.size(F.filter(a, lambda y: y == x))
 
-    more = F.transform(F.array_sort(F.array_distinct(left)), lambda x: F.array_repeat(x, F.greatest(F.lit(0), count(left, x) - count(right, x))))
-    return F.flatten(more)
+def _numbered(items: Column) -> Column:
+    """Sorted strings, equal ones told apart by their numbers from 1. Linear after the sort."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        ends = let(starts, lambda a: F.arrays_zip(a.alias("i"), F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(s))).alias("j")))
+        each = lambda r: F.transform(F.sequence(F.lit(1), r["j"] - r["i"]), lambda k: F.concat(F.get(s, r["i"]), F.lit(_MARK), k.cast("string")))
+        return F.flatten(F.transform(ends, each))
+
+    return F.when(F.size(items) > 0, let(F.array_sort(items), runs)).otherwise(F.array().cast("array<string>"))
+
+
+def surplus(left: Column, right: Column) -> Column:
+    """Multiset difference: the elements of ``left`` that ``right`` hasn't, each as often as it has more.
+
+    Equal elements are numbered on both sides, so that a set difference by hash does it.
+    """
+    rest = F.array_except(_numbered(left), _numbered(right))
+    return F.array_sort(F.transform(rest, lambda x: F.substring_index(x, _MARK, 1)))
 
 
 def equivalent_numbers(source: Column, target: Column, of_source: Column, of_target: Column) -> Column:
@@ -126,10 +162,7 @@ def equivalent_numbers(source: Column, target: Column, of_source: Column, of_tar
     """
 
     def reconciled(left: Column, right: Column, other: Column) -> Column:
-        return let(
-            surplus(left, right),
-            lambda rest: F.forall(F.array_distinct(rest), lambda x: written_count(other, x) >= F.size(F.filter(rest, lambda y: y == x))),
-        )
+        return F.size(surplus(surplus(left, right), written_numbers(other))) == 0
 
     same = F.array_sort(of_source) == F.array_sort(of_target)
     return same | (reconciled(of_source, of_target, target) & reconciled(of_target, of_source, source))

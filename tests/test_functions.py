@@ -181,3 +181,23 @@ def test_scalars(spark):
     assert scalar(spark, lambda c: T.redact(c, ["k1"]), "Bearer abc k1") == "Bearer *** ***"
     assert scalar(spark, T.json_array, 'ok ["a"] done') == '["a"]'
     assert scalar(spark, lambda c: T.endpoint(c, "/chat/completions"), "https://e/v1/") == "https://e/v1/chat/completions"
+
+
+def test_exponents_are_numbers_and_deep_formulas_end(spark):
+    assert number_lists(spark, ["1e3 m", "1000 m", "1.50E-3", "0.0015"])[:2] == [["1000"], ["1000"]]
+    assert number_lists(spark, ["1.50E-3", "0.0015"]) == [["0.0015"], ["0.0015"]]
+    assert latex.readable_formula("{" * 5000 + "x" + "}" * 5000) == "x"
+    assert latex.readable_formula(r"\frac{a}") == "a/" and latex.readable_formula("}x_") == "x"
+
+
+def test_spans_of_any_kind():
+    (t,) = H.parse('<table><tr><td rowspan="²">a</td><td colspan="1000000000">b</td></tr><tr><td>c</td></tr></table>')
+    assert [(c.row, c.column, c.height, c.width) for c in t.cells] == [(1, 1, 1, 1), (1, 2, 1, 10**9), (2, 1, 1, 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab<>/\"'=! trdble-", max_size=80))
+def test_markup_loses_no_text(html):
+    """What stands outside tags comes back, and tags are told as an HTML parser tells them."""
+    assert "<" in html or [x for x in H.markup(html)] == ([("text", "", html)] if html else [])
+    assert "".join(inside for what, _, inside in H.markup(html) if what == "text") in html or "<" in html
