@@ -25,13 +25,18 @@ def guarded_location(units: DataFrame, places: DataFrame, key: str, unit_order:
     """Units with the place of the same key, where that is unambiguous.
 
     A key with one place gives it to all its units; one with as many places as units pairs
-    them in order; others give nothing.
+    them in order; others give nothing. Keys are judged by their counts first (partial sums), so
+    that no pair is made and thrown away: units of single places meet one row each, and only keys
+    of equal counts are numbered, on both sides, and joined by key and number.
     """
-    per = lambda order: Window.partitionBy(key).orderBy(order)
-    u = units.withColumns({"_k": F.row_number().over(per(unit_order)), "_n": F.count("*").over(Window.partitionBy(key))})
-    p = places.withColumns({"_j": F.row_number().over(per(place_order)), "_m": F.count("*").over(Window.partitionBy(key))})
-    fits = (F.col("_m") == 1) | ((F.col("_m") == F.col("_n")) & (F.col("_j") == F.col("_k")))
-    return u.join(p, key).filter(fits).drop("_k", "_n", "_j", "_m")
+    n = units.groupBy(key).agg(F.count("*").alias("_n"))
+    m = places.groupBy(key).agg(F.count("*").alias("_m"))
+    fits = n.join(m, key).filter((F.col("_m") == 1) | (F.col("_m") == F.col("_n"))).select(key, (F.col("_m") == 1).alias("_single"))
+    single, several = fits.filter("_single").select(key), fits.filter("not _single").select(key)
+    numbered = lambda df, order: df.join(several, key, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    alone = units.join(places.join(single, key, "left_semi"), key)
+    paired = numbered(units, unit_order).join(numbered(places, place_order), [key, "_k"]).drop("_k")
+    return alone.unionByName(paired)
 
 
 def by_priority(rows: DataFrame, key: Column, priority: Column) -> DataFrame:
@@ -53,15 +58,20 @@ def merge(existing: DataFrame, incoming: DataFrame, key: str, value: str, policy
     return old.join(new, key, "full").select(key, chosen.alias(value))
 
 
-def next_on_page(items: DataFrame, blocks: DataFrame, page: list[str], item: str, below: str, top: str, name: str) -> DataFrame:
+def next_on_page(items: DataFrame, blocks: DataFrame, page: list[str], below: str, top: str, name: str) -> DataFrame:
     """Adds ``name``: the first block of the item's page that starts at or below the item's end, else null.
 
-    ``blocks`` has ``block``, ``top`` and the page columns. The range join is per page; the
-    nearest block is an aggregate, so no sort of the pairs is needed.
+    ``blocks`` has ``block``, ``top`` and the page columns; of blocks at one height the least counts. Both
+    sides are one table, read from the foot of each page upwards: an as-of join that makes no
+    pairs. ``page`` should name the book too, as a page is sorted in one task.
     """
-    near = items.join(blocks, page).filter(F.col(top) >= F.col(below))
-    best = near.groupBy(item).agg(F.min_by("block", F.struct(top, "block")).alias(name))
-    return items.join(best, item, "left")
+    row = F.struct(*items.columns)
+    both = items.select(*page, F.col(below).cast("double").alias("_at"), F.lit(None).cast(blocks.schema["block"].dataType).alias("_block"), row.alias("_item"))
+    both = both.unionByName(blocks.select(*page, F.col(top).cast("double").alias("_at"), F.col("block").alias("_block")), allowMissingColumns=True)
+    # Blocks before items at one height, the least block last: it is the nearest seen.
+    upwards = Window.partitionBy(*page).orderBy(F.desc("_at"), F.col("_block").isNull(), F.desc("_block")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_next", F.last("_block", ignorenulls=True).over(upwards))
+    return seen.filter("_item is not null").select("_item.*", F.col("_next").alias(name))
 
 
 def carried_over(new: DataFrame, old: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

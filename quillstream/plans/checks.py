@@ -44,12 +44,9 @@ def d16_number_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     twins.with_(twins.ORDER_PAIRS, NUMBERS_SQL)
-    + """,
-l AS (SELECT unit_id, token, count(*) AS n FROM clean WHERE side = 'source' GROUP BY ALL),
-r AS (SELECT unit_id, token, count(*) AS n FROM clean WHERE side = 'target' GROUP BY ALL)
-SELECT unit_id, 'missing' AS direction, token, l.n - coalesce(r.n, 0) AS n FROM l LEFT JOIN r USING (unit_id, token) WHERE l.n > coalesce(r.n, 0)
-UNION ALL
-SELECT unit_id, 'extra', token, r.n - coalesce(l.n, 0) FROM r LEFT JOIN l USING (unit_id, token) WHERE r.n > coalesce(l.n, 0)"""
+    + """
+SELECT unit_id, CASE WHEN sum(b) > 0 THEN 'missing' ELSE 'extra' END AS direction, token, CAST(abs(sum(b)) AS BIGINT) AS n
+FROM (SELECT unit_id, token, CASE side WHEN 'source' THEN 1 ELSE -1 END AS b FROM clean) GROUP BY unit_id, token HAVING sum(b) <> 0"""
 )
 def g6_number_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each side has more of: a multiset difference as one grouped count, without a join."""

@@ -125,9 +125,10 @@ def f7_glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 OMISSIONS = (
     twins.with_(twins.FURNITURE)
     + """,
-body AS (SELECT page_id, CAST(page_id % 20 + 1 AS INTEGER) AS page, 200 + (page_id * 37) % 700 AS top FROM pages),
-omitted AS (SELECT page_id, page, text, y2 FROM furniture f WHERE NOT margin AND length(text) >= 8
-            AND NOT EXISTS (SELECT 1 FROM documents d WHERE left(d.text, 60) = f.text))
+body AS (SELECT page_id, page_id // 200 AS book, CAST(page_id % 20 + 1 AS INTEGER) AS page, 200 + (page_id * 37) % 700 AS top FROM pages),
+body_lines AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM documents),
+omitted AS (SELECT page_id, page_id // 200 AS book, page, text, y2 FROM furniture f WHERE NOT margin AND length(text) >= 8
+            AND NOT EXISTS (SELECT 1 FROM body_lines d WHERE d.line = f.text))
 """
 )
 
@@ -136,17 +137,18 @@ omitted AS (SELECT page_id, page, text, y2 FROM furniture f WHERE NOT margin AND
     OMISSIONS
     + """
 SELECT o.page_id, o.text, arg_min(b.page_id, (b.top, b.page_id)) AS before
-FROM omitted o LEFT JOIN body b ON b.page = o.page AND b.top >= o.y2 GROUP BY o.page_id, o.text"""
+FROM omitted o LEFT JOIN body b ON b.book = o.book AND b.page = o.page AND b.top >= o.y2 GROUP BY o.page_id, o.text"""
 )
 def f8_omission_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts wrongly set aside as furniture, each with the block of its page that follows it."""
     furniture = fixtures.furniture(spark, sf_dir).filter(~F.col("margin") & (F.length("text") >= 8))
-    known = read_table(spark, sf_dir, "documents").select(F.substring("text", 1, 60).alias("text")).distinct()
-    omitted = furniture.join(known, "text", "left_anti").select("page_id", "page", "text", "y2")
+    known = fixtures.lines(spark, sf_dir).select(F.col("line").alias("text"))
+    book = F.expr("page_id div 200").alias("book")
+    omitted = furniture.join(known, "text", "left_anti").select("page_id", book, "page", "text", "y2")
     body = read_table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("block"), (F.col("page_id") % 20 + 1).cast("int").alias("page"), (F.col("page_id") * 37 % 700 + 200).alias("top")
+        F.col("page_id").alias("block"), book, (F.col("page_id") % 20 + 1).cast("int").alias("page"), (F.col("page_id") * 37 % 700 + 200).alias("top")
     )
-    found = joins.next_on_page(omitted, body, ["page"], "page_id", "y2", "top", "before")
+    found = joins.next_on_page(omitted, body, ["book", "page"], "y2", "top", "before")
     return found.select("page_id", "text", "before")
 
 

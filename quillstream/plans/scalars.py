@@ -28,21 +28,21 @@ def c1_normalize_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-SELECT doc_id, right(regexp_replace(regexp_replace('Abstract' || chr(10) || left(text, 50) || chr(10) || 'ABSTRACT the end', '(?im)^abstract[ \t]*$', '## 摘要', 'g'),
-       '(?im)^abstract\s+(.+)$', '## 摘要' || chr(10) || chr(10) || '\1', 'g'), 20) AS tail FROM documents"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace('Abstract' || chr(10) || text || chr(10) || 'ABSTRACT the end', '(?im)^abstract[ \t]*$', '## 摘要', 'g'),
+       '(?im)^abstract\s+(.+)$', '## 摘要' || chr(10) || chr(10) || '\1', 'g')) AS h FROM documents"""
 )
 def c2_abstract_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("Abstract\n"), F.substring("text", 1, 50), F.lit("\nABSTRACT the end"))
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.right(T.normalize_abstract_heading(text), F.lit(20)).alias("tail"))
+    text = F.concat(F.lit("Abstract\n"), "text", F.lit("\nABSTRACT the end"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_abstract_heading(text).cast("binary"), 256).alias("h"))
 
 
 @query(
     r"""
-WITH t AS (SELECT doc_id, left(regexp_replace(trim(regexp_replace(trim(string_split(left(text, 90), chr(10))[1]), '\$[^$]+\$', '', 'g')), '[\\{}<>:"/|?*]', '', 'g'), 60) AS t FROM documents)
+WITH t AS (SELECT doc_id, left(regexp_replace(trim(regexp_replace(trim(string_split(text, chr(10))[1]), '\$[^$]+\$', '', 'g')), '[\\{}<>:"/|?*]', '', 'g'), 60) AS t FROM documents)
 SELECT doc_id, CASE WHEN t = '' THEN 'translated' ELSE t END AS title FROM t"""
 )
 def c3_extract_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("intro\n# "), F.substring("text", 1, 90))
+    text = F.concat(F.lit("intro\n# "), "text")
     return read_table(spark, sf_dir, "documents").select("doc_id", T.extract_title(text).alias("title"))
 
 
@@ -144,11 +144,11 @@ def c24_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"SELECT doc_id, sha256(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS clean, left(trim(regexp_replace(left(text, 80), '[<>:\x22/\\|?*\x00-\x1F]', '_', 'g')), 40) AS stem FROM documents"
+    r"SELECT doc_id, sha256(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS clean, left(trim(regexp_replace(text, '[<>:\x22/\\|?*\x00-\x1F]', '_', 'g')), 40) AS stem FROM documents"
 )
 def c31_c32_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.sha2(T.strip_control(F.col("text")).cast("binary"), 256)
-    return read_table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"), T.safe_stem(F.substring("text", 1, 80)).alias("stem"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"), T.safe_stem(F.col("text")).alias("stem"))
 
 
 LOG = "['Processed ' || event_id || '/9 pages', 'loading model', 'OCR of ' || event_type, 'export ' || event_type, chr(27) || '[31mmarkdown', 'idle']"

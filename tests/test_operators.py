@@ -198,3 +198,30 @@ def test_edit_log(spark):
     log = [("u", "h", "first", 1, False), ("u", "h", "second", 2, False), ("u", "h", None, 3, True), ("v", "h", "x", 1, False), ("v", "h", None, 2, True)]
     got = {r.unit_id: r.history for r in current_edits(spark.createDataFrame(log, "unit_id string, source_hash string, text string, at int, undone boolean")).collect()}
     assert got == {"u": ["first"], "v": []}
+
+
+def test_a_hot_location_key_makes_no_pairs(spark):
+    """One key with 100,000 rows on both sides pairs in order; with one more on a side it gives nothing."""
+    from quillstream.operators import joins
+
+    n = 100_000
+    units = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("u")).unionByName(spark.createDataFrame([("s", -1), ("s", -2)], "key string, u long"))
+    places = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 7 % n).alias("p")).unionByName(spark.createDataFrame([("s", -9)], "key string, p long"))
+    got = joins.guarded_location(units, places, "key", "u", "p")
+    assert got.count() == n + 2 and got.filter("key = 'k' and u <> p").count() == 0
+    assert {(r.u, r.p) for r in got.filter("key = 's'").collect()} == {(-1, -9), (-2, -9)}
+    more = places.unionByName(spark.createDataFrame([("k", n)], "key string, p long"))
+    assert joins.guarded_location(units, more, "key", "u", "p").filter("key = 'k'").count() == 0
+
+
+def test_next_on_page_matches_brute_force(spark):
+    import random
+
+    from quillstream.operators import joins
+
+    rng = random.Random(2)
+    items = [(i, rng.randrange(3), rng.randrange(30)) for i in range(200)]
+    blocks = [(b, rng.randrange(3), rng.randrange(30)) for b in range(60)]
+    got = joins.next_on_page(spark.createDataFrame(items, "i long, page int, below int"), spark.createDataFrame(blocks, "block long, page int, top int"), ["page"], "below", "top", "nxt")
+    want = {i: min(((t, b) for b, q, t in blocks if q == p and t >= y), default=(0, None))[1] for i, p, y in items}
+    assert {r.i: r.nxt for r in got.collect()} == want
