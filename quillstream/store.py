@@ -9,6 +9,7 @@ was left. ``expected`` makes publishing conditional on the version that was read
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,18 +92,40 @@ class Store:
     def versions(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
 
-    def recover(self, keep: int = 3) -> list[str]:
-        """Removes a lock and pointers of a crashed publication, and all but the latest versions."""
-        for s in self._fs.listStatus(self._path(self.root)):
-            if s.getPath().getName().startswith(("_lock", "_pointer-")):
-                self._fs.delete(s.getPath(), False)
+    def recover(self, keep: int = 3, grace: float = 3_600.0) -> list[str]:
+        """Removes the locks and pointers of crashed publications, and all but the latest versions.
+
+        Only what is older than ``grace`` seconds goes: a lock that a publisher still holds and a version
+        that it is writing are younger, as long as ``grace`` is more than a publication takes.
+        """
+        jvm = self.spark.sparkContext._jvm
+        before = jvm.System.currentTimeMillis() - grace * 1000
+        listed = [(s.getModificationTime(), s.getPath().getName(), s.isDirectory(), s.getPath()) for s in self._fs.listStatus(self._path(self.root))]
+        for at, name, _, path in listed:
+            if name.startswith(("_lock", "_pointer-")) and at <= before:
+                self._fs.delete(path, False)
         now = self.current()
-        dated = sorted((s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
-        gone = [name for _, name in dated[: max(0, len(dated) - keep)] if name != now]
+        dated = sorted((at, name) for at, name, folder, _ in listed if folder)
+        gone = [name for at, name in dated[: max(0, len(dated) - keep)] if name != now and at <= before]
         for name in gone:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
         return gone
 
+    @contextmanager
+    def exporting(self):
+        """Holds the export lock and gives the version to export: one export at a time, while edits go on.
+
+        The lock of publications is another, taken after this one and only while a version is published;
+        an export reads its version to the end whatever is published meanwhile.
+        """
+        lock = self._path(f"{self.root}/_lock-export")
+        if not self._fs.createNewFile(lock):
+            raise Conflict("another export is under way")
+        try:
+            yield self.current()
+        finally:
+            self._fs.delete(lock, False)
+
 
 def current_edits(log: DataFrame) -> DataFrame:
     """unit_id, source_hash, history of an append-only log (unit_id, source_hash, text, at, undone)."""

@@ -189,7 +189,7 @@ def test_store(spark, tmp_path):
     (tmp_path / "store" / "_lock").touch()
     with pytest.raises(Conflict):
         store.publish({"units": spark.range(1)})
-    store.recover(keep=5)
+    store.recover(keep=5, grace=-1)
     store.roll_back(one)
     assert store.current() == one and two in store.versions()
 
@@ -225,3 +225,26 @@ def test_next_on_page_matches_brute_force(spark):
     got = joins.next_on_page(spark.createDataFrame(items, "i long, page int, below int"), spark.createDataFrame(blocks, "block long, page int, top int"), ["page"], "below", "top", "nxt")
     want = {i: min(((t, b) for b, q, t in blocks if q == p and t >= y), default=(0, None))[1] for i, p, y in items}
     assert {r.i: r.nxt for r in got.collect()} == want
+
+
+def test_progress_is_throttled(spark, tmp_path):
+    events = [("a", 0.0, "x", False), ("a", 0.2, "y", False), ("a", 0.3, "z", True), ("a", 0.7, "z", False), ("a", 0.9, "w", False), ("a", 5.0, "w", False), ("a", 10.9, "w", False), ("b", 1.0, "q", False)]
+    spark.createDataFrame(events, "task string, at double, message string, forced boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("task string, at double, message string, forced boolean").parquet(f"{tmp_path}/in")
+    q = ledger.throttled(stream).writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination(120)
+    got = sorted((r.task, r.at, r.message) for r in spark.table("throttled").collect())
+    assert got == [("a", 0.0, "x"), ("a", 0.3, "z"), ("a", 0.9, "w"), ("a", 10.9, "w"), ("b", 1.0, "q")]
+
+
+def test_recovery_leaves_a_live_publisher_alone(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store")
+    v = store.publish({"t": spark.range(1)})
+    lock = store._lock()
+    spark.range(2).write.parquet(f"{tmp_path}/store/v-unpublished/t")
+    assert store.recover(keep=0) == [] and store._fs.exists(lock)
+    assert store.recover(keep=0, grace=-1) == ["v-unpublished"] and not store._fs.exists(lock) and store.current() == v
+    with store.exporting() as now:
+        assert now == v and store.publish({"t": spark.range(3)}) != v and store.read("t", now).count() == 1
+        with pytest.raises(Conflict), store.exporting():
+            pass
