@@ -1,28 +1,36 @@
-"""Language-model scoring: Katz backoff with Good-Turing discounts, over all documents.
+"""Language-model scoring: Katz backoff over trigrams with Good-Turing discounts, over all documents.
 
-Model. Tokens are words in lower case (A-Z) and one end token after each text; the end token
-is also the history of a text's first token. With counts c over the training documents,
+Model. Tokens are words in lower case (A-Z) and one end token after each text; end tokens also
+stand before a text. With counts c over the training documents, evaluated recursively for each token,
 
-    P(w | h) = d(c(h w)) c(h w) / c(h)   if c(h w) > 0,   else   alpha(h) P(w)
+    P(w | g h) = d3(c(g h w)) c(g h w) / c(g h)   if c(g h w) > 0,   else   alpha(g h) P(w | h)
+    P(w | h)   = d2(c(h w)) c(h w) / c(h)         if c(h w) > 0,     else   alpha(h) P(w)
 
-d is Katz's Good-Turing discount for counts up to ``K`` (absolute discounting by ``ABSOLUTE``
+d is Katz's Good-Turing discount of its order for counts up to ``K`` (absolute discounting by ``ABSOLUTE``
 where the counts of counts allow none; where a history has only larger counts, one more
-occurrence in the denominator leaves mass for unseen words). alpha(h) makes the sum over all
-words exactly 1. P(w) is the Good-Turing unigram; its free mass goes to one unknown word.
-Base scores are additively smoothed unigrams.
+occurrence in the denominator leaves mass for unseen words). alpha makes the sum over all
+words exactly 1; that of a history never seen is 1. P(w) is the Good-Turing unigram; its free mass
+goes to one unknown word. Base scores are additively smoothed unigrams.
 
 Execution. Texts are read once, in blocks of about ``BLOCK_CHARS`` characters; a block keeps
 its tokens as numbers into its own vocabulary. Counting and look-up share one shuffle
-per order: every block sends its distinct n-grams with its own counts to the bucket that owns
-them (a hash of the n-gram or of its history), the bucket adds up and answers each block in
-the order asked. What moves is thus distinct n-grams per block, packed in compressed arrays,
-never tokens. Answers are tables in the shared folder, partitioned by bucket; the blocks are
-scored from them. Counts of counts are sums over buckets, a few numbers.
+per step: every block sends its distinct n-grams with its own counts to the bucket that owns
+them, the bucket adds up and answers each block in the order asked. What moves is thus distinct
+n-grams per block, packed in compressed arrays, never tokens. Answers are tables in the shared folder;
+the blocks are scored from them. Counts of counts are sums over buckets, a few numbers.
 
-Buckets are chosen by hashes of distinct n-grams, so frequent words don't heat them. A
-history is dealt by itself, so that its backoff weight is made in one place, except the
-hottest (more than 1/2**20 of the tokens and at least ``HOT_TOKENS``): their n-grams spread
-over all buckets and their sums, at most 2**20 rows, go to all tasks.
+A trigram g h w belongs to the bucket of its middle word h, which so has all bigrams h w as sums of its
+trigrams: bigrams need no messages of their own. The weights of a history depend on discounts that are known
+only after all buckets have counted; so buckets answer whole numbers that determine them: for a
+history its occurrences, how many followers have counts 1 to K, and of the followers' lower-order counts the
+sum of the large ones and how many are 1 to K. These are sent for histories that back off.
+
+The hottest words (more than 1/2**20 of the tokens and at least ``HOT_TOKENS``) would heat the bucket of a middle
+word. Their bigrams are counted first, spread over all buckets, and their sums, at most 2**20 rows, go to all
+tasks; their trigrams are dealt by both words of the history.
+
+A row of a message is a block and a bucket. Both counts grow with the input, so there are at most as many
+rows as distinct n-grams of blocks, and at the check tool's sizes a few thousand n-grams to a row.
 
 Edge cases: a null text is empty and has the end token alone; rows without an id are scored
 but not learned from; without training documents every token is unknown and has probability
@@ -229,14 +237,24 @@ def blocks(docs: DataFrame, parts: int, held: int) -> DataFrame:
     return inputs.mapInArrow(run, BLOCK)
 
 
-# ---------------------------------------------------------------- order 1: requests and answers
+# ---------------------------------------------------------------- messages
+
+REQUEST = "block long, bucket long, cells array<binary>"
+ANSWER = "block long, bucket long, cells array<binary>, stat array<long>, hot array<double>"
+_REQUEST, _ANSWER = ([c.split()[0] for c in x.split(", ")] for x in (REQUEST, ANSWER))
+
+
+def _rows(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
 
-ANSWER = "block long, bucket long, a binary, b binary, c binary, d binary, stat array<long>, hot array<double>"
-_ANSWER = [c.split()[0] for c in ANSWER.split(", ")]
+def _packed(*arrays: np.ndarray) -> list[bytes]:
+    return [pack(a) for a in arrays]
 
 
-def _answer(block=None, bucket=0, a=None, b=None, c=None, d=None, stat=None, hot=None) -> tuple:
-    return block, bucket, a, b, c, d, stat, hot
+def _cells(group: pd.DataFrame) -> list[list[np.ndarray]]:
+    """The arrays of each message, unpacked, by their place in the messages."""
+    return [list(column) for column in zip(*([unpack(c) for c in cells] for cells in group["cells"]), strict=True)]
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -250,13 +268,14 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _ask_words(buckets: int):
+    """Messages: hashes of words, the block's counts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for block, low, high, learned in zip(b["block"], b["keys_low"], b["keys_high"], b["learned"], strict=True):
                 low, learned = unpack(low), unpack(learned)
                 keys = unpack(high).astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-                rows = [(block, k, pack(keys[at]), pack(learned[at])) for k, at in _split(low % buckets)]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "a", "b"])
+                yield _rows([(block, k, _packed(keys[at], learned[at])) for k, at in _split(low % buckets)], _REQUEST)
 
     return run
 
@@ -267,48 +286,49 @@ def _of_counts(total: np.ndarray) -> np.ndarray:
 
 def _answer_words(buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """a: counts, b: numbers of words (0 for unknown ones). stat: tokens, words, counts of counts."""
-        keys = [unpack(x).astype(np.uint64) for x in group["a"]]
-        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([unpack(x) for x in group["b"]]), len(words)).astype(np.int64)
+        """Answers: counts, numbers of words (0 for unknown ones). stat: tokens, words, counts of counts."""
+        keys, learned = _cells(group)
+        words, inverse = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(learned), len(words)).astype(np.int64)
         bucket = int(group["bucket"].iloc[0])
         rank = np.empty(len(total), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(1, len(total) + 1)
         number = np.where(total > 0, rank * buckets + bucket, 0)
-        rows = [_answer(bucket=bucket, stat=[int(total.sum()), int((total > 0).sum()), *_of_counts(total)[1:].tolist()])]
+        rows = [(None, bucket, None, [int(total.sum()), int((total > 0).sum()), *_of_counts(total)[1:].tolist()], None)]
         ends = np.cumsum([len(x) for x in keys])
         for block, at in zip(group["block"], np.split(inverse, ends[:-1]), strict=True):
-            rows.append(_answer(block, bucket, pack(total[at]), pack(number[at])))
-        return pd.DataFrame(rows, columns=_ANSWER, dtype=object)
+            rows.append((block, bucket, _packed(total[at], number[at]), None, None))
+        return _rows(rows, _ANSWER)
 
     return run
 
 
-# ---------------------------------------------------------------- order 2
+# ---------------------------------------------------------------- orders 2 and 3
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
-class Pairs:
-    """Distinct pairs of known words in a block: numbers, the block's counts, where they stand.
+class Grams:
+    """Distinct n-grams of a block in the order of their histories, and where they stand.
 
-    A history that stands before unknown words alone has one pair with the unknown word (``second``
-    is 0), which asks for its backoff weight.
+    Histories end in a known word; a history or word may be unknown (number 0).
     """
 
-    first: np.ndarray  # per pair: local number of the history
-    second: np.ndarray  # the word's number over all blocks, 0 for the unknown word
-    count: np.ndarray  # occurrences of the word
+    far: np.ndarray  # local number of the word before the middle one (trigrams), -1 for an unknown one
+    near: np.ndarray  # local number of the middle word, or history of a bigram
+    word: np.ndarray  # local number, -1 for an unknown one
     learned: np.ndarray
-    bucket: np.ndarray
-    hot: np.ndarray
-    inverse: np.ndarray  # per token: its pair, or -1
+    inverse: np.ndarray  # per token: its n-gram, or -1
 
 
 class Opened:
     """A block with the answers of order 1."""
 
-    def __init__(self, row, answers: pd.DataFrame, buckets: int) -> None:
-        self.block = row["block"]
+    def __init__(self, row, answers: pd.DataFrame, buckets: int, hot_from: float) -> None:
+        self.block, self.buckets = row["block"], buckets
         self.doc_ids = unpack(row["doc_ids"]).astype(np.uint64).view(np.int64)
         self.has_id = unpack(row["has_id"]).astype(bool)
         flags = unpack(row["held"])
@@ -316,133 +336,267 @@ class Opened:
         self.lengths, self.ids = unpack(row["lengths"]), unpack(row["ids"])
         owner = unpack(row["keys_low"]) % buckets
         self.count, self.number = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
-        by = dict(zip(answers["bucket"], zip(answers["a"], answers["b"], strict=True), strict=True))
+        by = dict(zip(answers["bucket"], answers["cells"], strict=True))
         for k, at in _split(owner):
             self.count[at], self.number[at] = map(unpack, by[k])
-        self.end = int(row["end"])
-
-    def pairs(self, buckets: int, hot_from: float) -> Pairs:
-        before = np.empty_like(self.ids)
-        before[1:] = self.ids[:-1]
-        before[0] = self.end  # the end token of the text before stands in front of the others
-        n = len(self.count)
-        known = (self.count[before] > 0) & (self.count[self.ids] > 0)
-        coded = before[known] * n + self.ids[known]
-        distinct, where = np.unique(coded, return_inverse=True)
+        end = int(row["end"])
+        # An end token stands before each text, and another before that.
+        self.near = np.r_[end, self.ids[:-1]]
+        self.far = np.where(self.near == end, end, np.r_[end, end, self.ids][: len(self.ids)])
+        self.hot = self.count >= hot_from
+        self.weights = np.repeat(self.learn, self.lengths).astype(float)
+
+    def local(self, words: np.ndarray) -> np.ndarray:
+        """Unknown words as -1."""
+        return np.where(self.count[words] > 0, words, -1)
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Numbers over all blocks, 0 for unknown words."""
+        return np.where(words < 0, 0, self.number[words])
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        return np.where(words < 0, 0, self.count[words])
+
+    def _grams(self, of: np.ndarray, far: np.ndarray) -> Grams:
+        """n-grams at the places ``of``: by near, far and word."""
+        n = len(self.count) + 1
+        near, word = self.near[of], self.local(self.ids[of])
+        histories, h = np.unique(near * n + far + 1, return_inverse=True)
+        distinct, where = np.unique(h * n + word + 1, return_inverse=True)
         inverse = np.full(len(self.ids), -1)
-        inverse[known] = where
-        weights = np.repeat(self.learn, self.lengths)[known].astype(float)
-        learned = np.bincount(where, weights, len(distinct)).astype(np.int64)
-        first, second = distinct // n, distinct % n
-        # The weights of histories whose followers here are all unknown are needed too.
-        alone = np.zeros(n, bool)
-        alone[before[(self.count[before] > 0) & (self.count[self.ids] == 0)]] = True
-        alone[first] = False
-        alone = np.flatnonzero(alone)
-        first, second = np.r_[first, alone], np.r_[second, np.full(len(alone), -1)]
-        learned = np.r_[learned, np.zeros(len(alone), np.int64)]
-        follower = np.where(second < 0, 0, self.number[second])
-        hot = self.count[first] >= hot_from
-        h = _mixed(self.number[first])
-        h = np.where(hot, _mixed(h ^ _mixed(follower + 1)), h)
-        return Pairs(first, follower, np.where(second < 0, 0, self.count[second]), learned, ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64), hot, inverse)
+        inverse[of] = where
+        learned = np.bincount(where, self.weights[of], len(distinct)).astype(np.int64)
+        history = histories[distinct // n]
+        return Grams(history % n - 1, history // n, distinct % n - 1, learned, inverse)
+
+    def hot_pairs(self) -> Grams:
+        """Bigrams whose history is hot."""
+        of = np.flatnonzero(self.hot[self.near])
+        return self._grams(of, np.zeros(len(of), np.int64))
+
+    def trigrams(self) -> Grams:
+        of = np.flatnonzero(self.count[self.near] > 0)
+        return self._grams(of, self.local(self.far[of]))
+
+    def pair_buckets(self, g: Grams) -> np.ndarray:
+        return _bucket_of(_mixed(_mixed(self.numbers(g.near)) ^ _mixed(self.numbers(g.word) + 1)), self.buckets)
+
+    def trigram_buckets(self, g: Grams) -> np.ndarray:
+        h = _mixed(self.numbers(g.near))
+        return _bucket_of(np.where(self.hot[g.near], _mixed(h ^ _mixed(self.numbers(g.far) + 1)), h), self.buckets)
+
+    def hot_counts(self, pairs: Grams, answers: pd.DataFrame) -> np.ndarray:
+        """Counts of the hot pairs."""
+        by, out = dict(zip(answers["bucket"], answers["cells"], strict=True)), np.zeros(len(pairs.near), np.int64)
+        for k, at in _split(self.pair_buckets(pairs)):
+            out[at] = unpack(by[k][0])
+        return out
+
+
+def _parts_of(group: pd.DataFrame) -> tuple[pd.Series, dict[int, pd.DataFrame]]:
+    """The block's own row, and the answers by step."""
+    own = group["keys_low"].notna()
+    rest = group[~own]
+    return group[own].iloc[0], {k: rest[rest["step"] == k] for k in (1, 2, 3)}
 
 
 def _ask_pairs(buckets: int, hot_from: float):
+    """Messages: hot histories, words, the block's counts, counts of the words."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        row, answers = _parts_of(group)
+        block = Opened(row, answers[1], buckets, hot_from)
+        g, rows = block.hot_pairs(), []
+        for k, at in _split(block.pair_buckets(g)):
+            rows.append((block.block, k, _packed(block.number[g.near[at]], block.numbers(g.word[at]), g.learned[at], block.counts(g.word[at]))))
+        return _rows(rows, _REQUEST)
+
+    return run
+
+
+def _ask_trigrams(buckets: int, hot_from: float):
+    """Messages: middle words (twice the number, plus 1 for hot ones), words before, words, the block's counts,
+    counts of the words, and for hot middle words the counts of the last two words."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """a: histories, b: words, c: the block's counts, d: counts of the words."""
-        row = group[group["keys_low"].notna()].iloc[0]
-        block = Opened(row, group[group["keys_low"].isna()], buckets)
-        p, rows = block.pairs(buckets, hot_from), []
-        for k, at in _split(p.bucket):
-            first = p.first[at]
-            hot = block.count[first] >= hot_from
-            rows.append((block.block, k, pack(block.number[first] * 2 + hot), pack(p.second[at]), pack(p.learned[at]), pack(p.count[at])))
-        return pd.DataFrame(rows, columns=["block", "bucket", "a", "b", "c", "d"])
+        row, answers = _parts_of(group)
+        block = Opened(row, answers[1], buckets, hot_from)
+        g, pairs, rows = block.trigrams(), block.hot_pairs(), []
+        lower, hot = _hot_lower(block, g, pairs, answers[2]), block.hot[g.near]
+        for k, at in _split(block.trigram_buckets(g)):
+            near = block.number[g.near[at]] * 2 + hot[at]
+            rows.append((block.block, k, _packed(near, block.numbers(g.far[at]), block.numbers(g.word[at]), g.learned[at], block.counts(g.word[at]), lower[at][hot[at]])))
+        return _rows(rows, _REQUEST)
 
     return run
 
 
+def _hot_lower(block: Opened, g: Grams, pairs: Grams, answers: pd.DataFrame) -> np.ndarray:
+    """For trigrams of a hot middle word the count of their last two words, else 0."""
+    out, hot = np.zeros(len(g.near), np.int64), np.flatnonzero(block.hot[g.near])
+    if len(hot):
+        n = len(block.count) + 1
+        known = pairs.near * n + pairs.word + 1
+        order = np.argsort(known, kind="stable")
+        at = np.searchsorted(known[order], g.near[hot] * n + g.word[hot] + 1)
+        out[hot] = block.hot_counts(pairs, answers)[order[at]]
+    return out
+
+
 def _coded(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One number for each pair."""
-    if max(first.max(initial=0), second.max(initial=0)) >= 1 << 32:
+    """One number for each pair, in the order of the pairs."""
+    if max(first.max(initial=0), second.max(initial=0)) >= 1 << 31:
         first = np.unique(first, return_inverse=True)[1]
         second = np.unique(second, return_inverse=True)[1]
-    return (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+    return first.astype(np.int64) << 32 | second.astype(np.int64)
+
+
+def _small(of: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """(n, K): how many of the counts of each group are 1 to K."""
+    return np.stack([np.bincount(of, counts == r, n) for r in range(1, K + 1)], axis=1).astype(np.int64)
+
+
+def _sum(of: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    out = np.bincount(of, x, n)
+    return out if x.dtype.kind == "f" else out.astype(np.int64)
 
 
 def _answer_pairs(unigrams: Unigrams, of_words: np.ndarray):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """a: counts of the pairs asked; b: per history asked (in order) occurrences, c: numbers of
-        followers with counts 1..K (K arrays in one), d: sums of P(w) over followers."""
-        sizes, first, second, learned, counts = [], [], [], [], []
-        for a, b, c, d in zip(group["a"], group["b"], group["c"], group["d"], strict=True):
-            first.append(unpack(a))
-            second.append(unpack(b))
-            learned.append(unpack(c))
-            counts.append(unpack(d))
-            sizes.append(len(first[-1]))
+        """Answers: counts. stat: counts of counts. hot: history, occurrences, sum of P(w) over followers, small counts."""
+        first, second, learned, counts = _cells(group)
+        sizes = np.cumsum([len(x) for x in first])[:-1]
         first, second, learned, counts = map(np.concatenate, (first, second, learned, counts))
         _, at, inverse = np.unique(_coded(first, second), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, learned, len(at)).astype(np.int64)
+        total = _sum(inverse, learned, len(at))
         histories, of = np.unique(first[at], return_inverse=True)
-        seen = np.where(total > 0, unigrams.probability(counts[at], of_words), 0.0)
-        occurrences = np.bincount(of, total, len(histories)).astype(np.int64)
-        lower = np.bincount(of, seen, len(histories))
-        small = np.stack([np.bincount(of, total == r, len(histories)) for r in range(1, K + 1)], axis=1).astype(np.int64)
+        n = len(histories)
+        lower = np.bincount(of, np.where(total > 0, unigrams.probability(counts[at], of_words), 0.0), n)
+        occurrences, small = _sum(of, total, n), _small(of, total, n)
+        bucket = int(group["bucket"].iloc[0])
+        rows = [(None, bucket, None, [0, 0, *_of_counts(total)[1:].tolist()], None)]
+        rows += [(None, bucket, None, None, [float(histories[k]), float(occurrences[k]), lower[k], *small[k].astype(float)]) for k in range(n)]
+        rows += [(block, bucket, _packed(total[own]), None, None) for block, own in zip(group["block"], np.split(inverse, sizes), strict=True)]
+        return _rows(rows, _ANSWER)
+
+    return run
+
+
+def _answer_trigrams(unigrams: Unigrams, of_words: np.ndarray):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Answers, by the order of the trigrams asked: their counts; for each history its occurrences and its
+        followers' least count; for histories with an unseen follower the numbers that determine alpha; for
+        trigrams that are unseen the count of the last two words; for middle words of such (hot ones apart) the
+        numbers that determine their alpha. stat: counts of counts of bigrams (hot ones apart) and trigrams."""
+        cells = _cells(group)
+        sizes = np.cumsum([len(x) for x in cells[0]])[:-1]
+        near, far, word, learned, counts, hot_lower = map(np.concatenate, cells)
+        given = np.zeros(len(near), np.int64)
+        given[near % 2 == 1] = hot_lower
+        history = np.unique(_coded(near, far), return_inverse=True)[1]
+        _, at, inverse = np.unique(_coded(history, word), return_index=True, return_inverse=True)
+        total = _sum(inverse, learned, len(at))
+        # Bigrams: sums over the first words; those of hot middle words came with the request.
+        _, pair_at, pair = np.unique(_coded(near[at], word[at]), return_index=True, return_inverse=True)
+        pair_at = at[pair_at]
+        cold = near[pair_at] % 2 == 0
+        lower = np.where(cold, _sum(pair, total, len(pair_at)), given[pair_at])
+        # Middle words.
+        middles, of = np.unique(near[pair_at], return_inverse=True)
+        n = len(middles)
+        seen = np.where(lower > 0, unigrams.probability(counts[pair_at], of_words), 0.0)
+        middle = [*_small(of, lower, n).T, np.bincount(of, seen, n)]
+        # Histories.
+        h_of, n = history[at], int(history.max(initial=-1)) + 1
+        known, below = total > 0, lower[pair]
+        small = _small(h_of, total, n)
+        least = np.where(small.any(axis=1), (small > 0).argmax(axis=1) + 1, K + 1)
+        occurrences = _sum(h_of, total, n)
+        large = _sum(h_of, np.where(known & (below > K), below, 0), n)
+        weights = [*small.T, large, *_small(h_of, np.where(known, below, 0), n).T]
         bucket = int(group["bucket"].iloc[0])
-        rows = [_answer(bucket=bucket, stat=[0, 0, *_of_counts(total)[1:].tolist()])]
-        for k in np.flatnonzero(histories % 2):
-            rows.append(_answer(bucket=bucket, hot=[float(histories[k] // 2), float(occurrences[k]), lower[k], *small[k].astype(float)]))
-        ends = np.cumsum(sizes)[:-1]
-        for block, own, asked in zip(group["block"], np.split(inverse, ends), np.split(first, ends), strict=True):
-            h = np.searchsorted(histories, np.unique(asked[asked % 2 == 0]))
-            rows.append(_answer(block, bucket, pack(total[own]), pack(occurrences[h]), pack(small[h].T.ravel()), pack(lower[h])))
-        return pd.DataFrame(rows, columns=_ANSWER, dtype=object)
+        stat = [*_of_counts(lower[cold])[1:].tolist(), *_of_counts(total)[1:].tolist()]
+        rows = [(None, bucket, None, stat, None)]
+        for block, own, h in zip(group["block"], np.split(inverse, sizes), np.split(history, sizes), strict=True):
+            asked, open_ = _asked(h, total[own] == 0)
+            unseen = own[total[own] == 0]
+            m = _cold_middles(near[at[unseen]])
+            m = np.searchsorted(middles, m)
+            cells = _packed(total[own], occurrences[asked], least[asked], *(x[open_] for x in weights), lower[pair[unseen]], *(x[m] for x in middle))
+            rows.append((block, bucket, cells, None, None))
+        return _rows(rows, _ANSWER)
 
     return run
 
 
+def _asked(history: np.ndarray, unseen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct histories of n-grams in order of histories, and those with an unseen n-gram, in order."""
+    first = np.r_[True, history[1:] != history[:-1]] if len(history) else np.zeros(0, bool)
+    return history[first], history[first][np.logical_or.reduceat(unseen, np.flatnonzero(first))] if len(history) else history
+
+
+def _cold_middles(near: np.ndarray) -> np.ndarray:
+    return np.unique(near[near % 2 == 0])
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, hot_from: float, unigrams: Unigrams, of_words: np.ndarray, of_pairs: np.ndarray, hot: np.ndarray):
-    d2 = discounts(of_pairs)
+def _score(buckets: int, hot_from: float, unigrams: Unigrams, of_words: np.ndarray, d2: np.ndarray, d3: np.ndarray, hot: np.ndarray):
+    r = np.arange(1, K + 1)
+    discounted = lambda d, c: d[np.minimum(c, K)] ** (c <= K) * c
+
+    def bare(least: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Histories all of whose followers have counts that no discount touches."""
+        return d[np.minimum(least, K)] ** (least <= K) >= 1
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group[group["keys_low"].notna()].iloc[0]
-        rest = group[group["keys_low"].isna()]
-        block = Opened(row, rest[rest["order"] == 1], buckets)
-        p = block.pairs(buckets, hot_from)
-        answers = rest[rest["order"] == 2]
-        by = {k: x for k, *x in zip(answers["bucket"], answers["a"], answers["b"], answers["c"], answers["d"], strict=True)}
+        row, answers = _parts_of(group)
+        block = Opened(row, answers[1], buckets, hot_from)
+        g, pairs = block.trigrams(), block.hot_pairs()
         n = len(block.count)
-        below, alpha = np.ones(n), np.ones(n)  # a history never seen leaves P(w) as it is
-        count = np.zeros(len(p.first), np.int64)
-        for k, at in _split(p.bucket):
-            a, b, c, d = by[k]
-            count[at] = unpack(a)
-            own = p.first[at][~p.hot[at]]
-            if len(own):
-                # the bucket answers histories in the order of their numbers
-                own = np.unique(own)
-                own = own[np.argsort(block.number[own], kind="stable")]
-                total = unpack(b)
-                s = total > 0
-                below[own[s]], alpha[own[s]] = (x[s] for x in backoff(total, unpack(c).reshape(K, -1).T, unpack(d), d2))
-        if len(hot):
-            words = np.flatnonzero(block.count >= hot_from)
+        # Of middle words: denominator and alpha of order 2; occurrences are the word's own count.
+        below2, alpha2 = np.maximum(block.count, 1).astype(float), np.ones(n)
+        words = np.flatnonzero(block.hot)
+        if len(words):
             at = np.searchsorted(hot[:, 0], block.number[words])
-            there = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1), 0] == block.number[words])
-            words, at = words[there], at[there]
-            below[words], alpha[words] = backoff(hot[at, 1], hot[at, 3:], hot[at, 2], d2)
+            below2[words], alpha2[words] = backoff(hot[at, 1], hot[at, 3:], hot[at, 2], d2)
+        lower = _hot_lower(block, g, pairs, answers[2])
+        count = np.zeros(len(g.near), np.int64)
+        n_gram = n + 1
+        history = np.unique(g.near * n_gram + g.far + 1, return_inverse=True)[1]
+        m = int(history.max(initial=-1)) + 1
+        total, small, large = np.zeros(m, np.int64), np.zeros((m, K), np.int64), np.zeros(m, np.int64)
+        least, lower_small = np.full(m, K + 1), np.zeros((m, K), np.int64)
+        by = dict(zip(answers[3]["bucket"], answers[3]["cells"], strict=True))
+        for k, at in _split(block.trigram_buckets(g)):
+            cells = iter(map(unpack, by[k]))
+            take = lambda c, many: np.stack([next(c) for _ in range(many)], axis=1)
+            count[at] = next(cells)
+            near = block.number[g.near[at]] * 2 + block.hot[g.near[at]]
+            unseen = count[at] == 0
+            asked, open_ = np.unique(history[at]), np.unique(history[at][unseen])
+            total[asked], least[asked] = next(cells), next(cells)
+            small[open_], large[open_], lower_small[open_] = take(cells, K), next(cells), take(cells, K)
+            lower[at[unseen]] = next(cells)
+            cold, first = np.unique(near[unseen], return_index=True)
+            first = g.near[at][unseen][first[cold % 2 == 0]]
+            small2, lower2 = take(cells, K), next(cells)
+            below2[first], alpha2[first] = backoff(block.count[first], small2, lower2, d2)
         p1 = unigrams.probability(block.count, of_words)
-        before = np.empty_like(block.ids)
-        before[1:] = block.ids[:-1]
-        before[0] = block.end
-        own = np.append(count, 0)[p.inverse]
-        direct = d2[np.minimum(own, K)] ** (own <= K) * own / below[before]
-        logs = np.log10(np.where(own > 0, direct, alpha[before] * p1[block.ids]))
+        # Order 2, for trigrams that are unseen.
+        p2 = np.where(lower > 0, discounted(d2, lower) / below2[g.near], alpha2[g.near] * np.where(g.word < 0, unigrams.probability(np.zeros(1, np.int64), of_words)[0], p1[g.word]))
+        # Order 3.
+        is_bare = bare(least, d3)
+        below3 = np.maximum(np.where(is_bare, total + 1, total), 1)
+        free = np.where(is_bare, 1.0, (small * ((1 - d3[1:]) * r)).sum(axis=1))
+        near_of = np.zeros(m, np.int64)
+        near_of[history] = g.near
+        covered = (large + (lower_small * (d2[1:] * r)).sum(axis=1)) / below2[near_of]
+        alpha3 = np.where(total > 0, free / below3 / np.maximum(1 - covered, 1e-300), 1.0)
+        p3 = np.where(count > 0, discounted(d3, count) / below3[history], alpha3[history] * p2)
+        # A token after an unknown word has its unigram.
+        logs = np.log10(np.where(g.inverse >= 0, np.append(p3, 1.0)[g.inverse], p1[block.ids]))
         base = np.log10(unigrams.base(block.count))[block.ids] if unigrams.tokens else np.zeros(len(block.ids))
         starts = np.r_[0, np.cumsum(block.lengths)[:-1]]
         return pd.DataFrame(
@@ -466,47 +620,52 @@ def _released(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _sums(answers: DataFrame) -> np.ndarray:
-    """Sums of the buckets' statistics: tokens, words, counts of counts 1..K+1."""
-    cells = [F.coalesce(F.sum(F.get("stat", F.lit(i))), F.lit(0)) for i in range(K + 3)]
+def _sums(answers: DataFrame, n: int) -> np.ndarray:
+    """Sums of the buckets' statistics."""
+    cells = [F.coalesce(F.sum(F.get("stat", F.lit(i))), F.lit(0)) for i in range(n)]
     return np.array(answers.filter("stat is not null").agg(*cells).first(), np.int64)
 
 
 def katz_scores(docs: DataFrame, parts: int = 10, held: int = 0, bucket_tokens: int = BUCKET_TOKENS, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``docs``."""
-    spark = docs.sparkSession
     text = written(blocks(docs, parts, held), "katz_blocks")
+    spark = text.sparkSession
     total = text.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     buckets = max(4, -(-total // bucket_tokens))
     hot_from = max(hot_tokens, total * HOT_SHARE)
 
-    asked = text.select("block", "keys_low", "keys_high", "learned").mapInPandas(_ask_words(buckets), "block long, bucket long, a binary, b binary")
+    asked = text.select("block", "keys_low", "keys_high", "learned").mapInPandas(_ask_words(buckets), REQUEST)
     words = written(asked.groupBy("bucket").applyInPandas(_answer_words(buckets), ANSWER), "katz_order1")
-    tokens, kinds, *counts = _sums(words)
+    tokens, kinds, *counts = _sums(words, K + 3)
     _released(spark)
     of_words = np.array([0, *counts])
     unigrams = Unigrams.of(int(tokens), int(kinds), of_words)
 
     lines = [c.split()[0] for c in BLOCK.split(", ") if c.split()[0] not in ("block", *ASKED_ONCE)]
     blank = [F.lit(None).cast(text.schema[c].dataType).alias(c) for c in lines]
-    answer = [F.lit(None).cast("long").alias("bucket"), *(F.lit(None).cast("binary").alias(c) for c in "abcd")]
+    answer = [F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("array<binary>").alias("cells")]
 
     def joined(*answers: tuple[int, DataFrame]) -> DataFrame:
-        out = text.select("block", *lines, *answer, F.lit(0).alias("order"))
-        for order, df in answers:
-            own = df.filter("block is not null").select("block", *blank, "bucket", *"abcd", F.lit(order).alias("order"))
+        out = text.select("block", *lines, *answer, F.lit(0).alias("step"))
+        for step, df in answers:
+            own = df.filter("block is not null").select("block", *blank, "bucket", "cells", F.lit(step).alias("step"))
             out = out.unionAll(own)
         return out
 
-    request = "block long, bucket long, a binary, b binary, c binary, d binary"
-    asked = joined((1, words)).groupBy("block").applyInPandas(_ask_pairs(buckets, hot_from), request)
+    asked = joined((1, words)).groupBy("block").applyInPandas(_ask_pairs(buckets, hot_from), REQUEST)
     pairs = written(asked.groupBy("bucket").applyInPandas(_answer_pairs(unigrams, of_words), ANSWER), "katz_order2")
-    of_pairs = np.array([0, *_sums(pairs)[2:]])
-    del asked
+    hot_counts = _sums(pairs, K + 3)[2:]
     _released(spark)
     # At most total / hot_from rows, that is 2**20.
     sums = pairs.filter("hot is not null").groupBy(F.get("hot", F.lit(0)).alias("h"))
     hot = sums.agg(*(F.sum(F.get("hot", F.lit(i))).alias(f"s{i}") for i in range(1, K + 3))).orderBy("h").collect()
     hot = np.array(hot, float).reshape(len(hot), K + 3)
-    scored = _score(buckets, hot_from, unigrams, of_words, of_pairs, hot)
-    return joined((1, words), (2, pairs)).groupBy("block").applyInPandas(scored, SCORES)
+
+    asked = joined((1, words), (2, pairs)).groupBy("block").applyInPandas(_ask_trigrams(buckets, hot_from), REQUEST)
+    trigrams = written(asked.groupBy("bucket").applyInPandas(_answer_trigrams(unigrams, of_words), ANSWER), "katz_order3")
+    stats = _sums(trigrams, 2 * (K + 1))
+    del asked
+    _released(spark)
+    d2, d3 = (discounts(np.array([0, *counts])) for counts in (hot_counts + stats[: K + 1], stats[K + 1 :]))
+    scored = _score(buckets, hot_from, unigrams, of_words, d2, d3, hot)
+    return joined((1, words), (2, pairs), (3, trigrams)).groupBy("block").applyInPandas(scored, SCORES)

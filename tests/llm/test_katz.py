@@ -20,41 +20,45 @@ class Brute:
     """The model by its formulas, with dictionaries."""
 
     def __init__(self, texts):
-        self.c1, self.c2, self.h = Counter(), Counter(), Counter()
+        self.c = [Counter(), Counter(), Counter()]
         for t in texts:
             w = tokens(t)
-            self.c1.update(w)
-            self.c2.update(zip([END, *w[:-1]], w))
-        for (a, _), c in self.c2.items():
-            self.h[a] += c
-        self.n = sum(self.c1.values())
-        self.d1, self.d2 = (katz.discounts([0] + [sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in (self.c1, self.c2))
-        d = lambda ds, c: ds[c] if c <= katz.K else 1.0
-        free = sum((1 - d(self.d1, c)) * c for c in self.c1.values())
+            pad = [END, END, *w]
+            for n in range(3):
+                self.c[n].update(tuple(pad[i - n : i + 1]) for i in range(2, len(pad)))
+        self.n = sum(self.c[0].values())
+        self.c1 = {w: c for (w,), c in self.c[0].items()}
+        ds = [katz.discounts([0] + [sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in self.c]
+        self.d = lambda n, c: ds[n][c] if c <= katz.K else 1.0
+        free = sum((1 - self.d(0, c)) * c for c in self.c1.values())
         self.total = self.n if free > 0 else self.n + 1
         self.unknown = (free or 1.0) / self.total
-        self.p1 = {w: d(self.d1, c) * c / self.total for w, c in self.c1.items()}
+        self.p1 = {w: self.d(0, c) * c / self.total for w, c in self.c1.items()}
         self.below, self.alpha = {}, {}
-        for h, c in self.h.items():
-            follow = {w: n for (a, w), n in self.c2.items() if a == h}
-            free = sum((1 - d(self.d2, n)) * n for n in follow.values())
-            self.below[h] = c if free > 0 else c + 1
-            self.alpha[h] = (free if free > 0 else 1.0) / self.below[h] / (1 - sum(self.p1[w] for w in follow))
-        self.d = d
+        for n in (1, 2):
+            follow = {}
+            for gram, c in self.c[n].items():
+                follow.setdefault(gram[:-1], {})[gram[-1]] = c
+            for h, x in follow.items():
+                free = sum((1 - self.d(n, c)) * c for c in x.values())
+                self.below[h] = sum(x.values()) + (free <= 0)
+                self.alpha[h] = (free if free > 0 else 1.0) / self.below[h] / (1 - sum(self.p(h[1:], w) for w in x))
 
     def p(self, h, w):
-        c = self.c2.get((h, w), 0)
+        if not h:
+            return self.p1.get(w, self.unknown)
+        c = self.c[len(h)].get((*h, w), 0)
         if c:
-            return self.d(self.d2, c) * c / self.below[h]
-        return self.alpha.get(h, 1.0) * self.p1.get(w, self.unknown)
+            return self.d(len(h), c) * c / self.below[h]
+        return self.alpha.get(h, 1.0) * self.p(h[1:], w)
 
     def score(self, text):
-        w = tokens(text)
-        return sum(math.log10(self.p(a, b)) for a, b in zip([END, *w[:-1]], w))
+        w = [END, END, *tokens(text)]
+        return sum(math.log10(self.p((w[i - 2], w[i - 1]), w[i])) for i in range(2, len(w)))
 
     def base(self, text):
         v = len(self.c1)
-        return sum(math.log10((self.c1[w] + 0.1) / (self.n + 0.1 * (v + 1))) for w in tokens(text))
+        return sum(math.log10((self.c1.get(w, 0) + 0.1) / (self.n + 0.1 * (v + 1))) for w in tokens(text))
 
 
 @pytest.fixture(scope="module")
@@ -70,8 +74,9 @@ def test_scores_match_the_formulas(make_docs, corpus, hot_tokens, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_CHARS", 2000)
     held = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
     model = Brute([t for i, t, _ in corpus if i is not None and not held(i)])
-    for h in [END, "w1", "w2", next(w for w, c in model.c1.items() if c == 1), "never"]:
-        total = sum(model.p(h, w) for w in model.c1) + model.alpha.get(h, 1.0) * model.unknown
+    rare = next(w for w, c in model.c1.items() if c == 1)
+    for h in [(END,), ("w1",), (rare,), ("never",), (END, END), ("w1", "w2"), ("w2", "w1"), (END, "w1"), (rare, "never"), ("never", "w1")]:
+        total = sum(model.p(h, w) for w in [*model.c1, "not a word"])
         assert abs(total - 1) < 1e-9
     got = katz.katz_scores(make_docs(corpus), bucket_tokens=700, hot_tokens=hot_tokens).collect()
     assert len(got) == len(corpus)
