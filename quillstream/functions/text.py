@@ -1,9 +1,11 @@
-"""Scalar text functions as column expressions; all stay in the JVM."""
+"""Scalar text functions as column expressions; all but ``unescaped`` stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,11 +53,15 @@ def normalize_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"(?U)\s+", " "))
 
 
+@F.pandas_udf("string")
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references of HTML resolved, all of them; in Arrow batches."""
+    return text.map(unescape, na_action="ignore")
+
+
 def location_key(text: Column) -> Column:
-    """Text without tags, heading marks and white space; the usual character references resolved."""
-    bare = F.regexp_replace(text, "<[^>]+>", " ")
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(value))
+    """Text without tags, heading marks and white space, character references resolved."""
+    bare = unescaped(F.regexp_replace(text, "<[^>]+>", " "))
     return F.regexp_replace(F.regexp_replace(bare, r"(?m)^#{1,6}\s+", ""), r"(?U)\s+", "")
 
 

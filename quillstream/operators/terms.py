@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,40 +53,44 @@ def _phrase(words: list[Column]) -> Column:
     return out
 
 
-def longest_matches(df: DataFrame, glossary: DataFrame, key: str, text: str, longest: int = 5) -> DataFrame:
+def longest_matches(df: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, words, source, target: terms of the glossary, left to right, the longest first, without overlap.
 
-    Every n-gram of a text meets the glossary by equality; the greedy choice is a fold over the
-    few matches of a text. glossary: source, target; terms of up to ``longest`` words.
+    The n-grams of a text, of the lengths that terms have, meet the glossary by equality; the greedy
+    choice is one pass over the few matches of a text. glossary: source, target, of any length.
     """
     token = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+    phrase = F.regexp_extract_all(F.lower("source"), F.lit(token), F.lit(0))
+    terms = glossary.select(phrase.alias("phrase"), term_key(F.col("source")).alias("source"), "target").filter(F.size("phrase") > 0)
+    terms = terms.select(F.size("phrase").alias("n"), F.array_join("phrase", " ").alias("phrase"), "source", "target")
+    terms = terms.groupBy("phrase").agg(F.first("n").alias("n"), F.min_by(F.struct("source", "target"), F.struct("source", "target")).alias("t")).select("phrase", "n", "t.*")
+    # A few numbers: the lengths of terms.
+    lengths = sorted(r["n"] for r in terms.select("n").distinct().collect())
     words = df.select(key, F.regexp_extract_all(F.lower(text), F.lit(token), F.lit(0)).alias("w"))
-    n_grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(
-                F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.struct(i.alias("pos"), n.alias("words"), F.array_join(F.slice("w", i, n), " ").alias("phrase")),
-            ),
-        )
-    )
-    grams = words.select(key, F.explode(n_grams).alias("g")).select(key, "g.*")
-    phrase = F.array_join(F.regexp_extract_all(F.lower("source"), F.lit(token), F.lit(0)), " ")
-    terms = glossary.select(phrase.alias("phrase"), term_key(F.col("source")).alias("source"), "target").dropDuplicates(["phrase"])
-    found = grams.join(terms, "phrase").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", (-F.col("words")).alias("less"), "words", "source", "target"))).alias("m")
-    )
-    start = F.expr("named_struct('end', 0, 'out', cast(array() as array<struct<pos: int, less: int, words: int, source: string, target: string>>))")
-
-    def step(s: Column, x: Column) -> Column:
-        free = x["pos"] > s["end"]
-        return F.struct(
-            F.when(free, x["pos"] + x["words"] - 1).otherwise(s["end"]).alias("end"),
-            F.when(free, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"),
-        )
-
-    chosen = found.select(key, F.explode(F.aggregate("m", start, step, lambda s: s["out"])).alias("x"))
-    return chosen.select(key, "x.pos", "x.words", "x.source", "x.target")
+    none = F.array().cast("array<int>")
+
+    def grams_of(n: int) -> Column:
+        places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(none)
+        return F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("words"), F.array_join(F.slice("w", i, n), " ").alias("phrase")))
+
+    grams = words.select(key, F.explode(F.flatten(F.array(*map(grams_of, lengths or [1])))).alias("g")).select(key, "g.*")
+    item = F.struct("pos", (-F.col("words")).alias("less"), "words", "source", "target")
+    found = grams.join(terms.select("phrase", "source", "target"), "phrase").groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("m"))
+
+    @F.pandas_udf("array<boolean>")
+    def free(pos: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for places, sizes in zip(pos, size, strict=True):
+            end, kept = 0, []
+            for p, n in zip(places, sizes, strict=True):
+                kept.append(bool(p > end))
+                end = p + n - 1 if p > end else end
+            out.append(kept)
+        return pd.Series(out, dtype=object)
+
+    judged = found.select(key, "m", free("m.pos", "m.words").alias("free"))
+    chosen = judged.select(key, F.explode(F.arrays_zip("m", "free")).alias("x")).filter("x.free").select(key, "x.m.*")
+    return chosen.select(key, "pos", "words", "source", "target")
 
 
 def violations(df: DataFrame, glossary: DataFrame, key: str, source: str, target: str) -> DataFrame:

@@ -5,8 +5,12 @@ All windows and folds are per document or group; none orders a whole table in on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 
 def reference_ranges(blocks: DataFrame, group: str = "doc_id", pos: str = "pos") -> DataFrame:
@@ -57,58 +61,81 @@ def cost(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("table", "formula", "image", "code", "reference"), F.lit(60)).otherwise(F.length(text))
 
 
+def _numbers(number: Callable[..., list[int]], *columns: Column) -> Column:
+    """array<bigint>: a number for each item of a group's parallel arrays, by a linear pass in Arrow batches."""
+
+    def run(group: pd.DataFrame) -> pd.Series:
+        return pd.Series([number(*arrays) for arrays in zip(*(group[c] for c in group), strict=True)], dtype=object)
+
+    arrays = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    return F.pandas_udf(run, "array<bigint>", functionType=PandasUDFType.SCALAR)(arrays)
+
+
 def packed(blocks: DataFrame, maximum: int = 10_000, minimum: int = 1_800, group: str = "doc_id", pos: str = "pos") -> DataFrame:
     """group, pos, segment: number of the segment that each block falls in.
 
     A segment ends before a block that would exceed the maximum, or before a heading of level
-    1 or 2 once it has the minimum; never right after an image or table. The fold goes over
-    one document's array of small structs; texts don't enter it.
+    1 or 2 once it has the minimum; never right after an image or table. One pass over a document's
+    costs and flags; texts don't enter it.
     """
+    top = (F.col("kind") == "heading") & (F.col("text").startswith("# ") | F.col("text").startswith("## "))
     item = F.struct(
-        F.col(pos).alias("pos"),
+        F.col(pos).cast("long").alias("pos"),
         cost(F.col("kind"), F.col("text")).cast("long").alias("cost"),
-        (F.col("text").startswith("# ") | F.col("text").startswith("## ")).alias("top"),
-        (F.col("kind") == "heading").alias("heading"),
+        F.coalesce(top, F.lit(False)).alias("top"),
         F.col("kind").isin("image", "table").alias("sticky"),
     )
     ordered = blocks.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.expr("named_struct('size', 0L, 'segment', 0L, 'any', false, 'sticky', false, 'out', cast(array() as array<struct<pos: long, segment: long>>))")
 
-    def step(s: Column, x: Column) -> Column:
-        flush = s["any"] & ~s["sticky"] & ((s["size"] + x["cost"] > maximum) | (x["heading"] & x["top"] & (s["size"] >= minimum)))
-        segment = F.when(flush, s["segment"] + 1).otherwise(s["segment"])
-        return F.struct(
-            (F.when(flush, F.lit(0)).otherwise(s["size"]) + x["cost"] + 2).cast("long").alias("size"),
-            segment.alias("segment"),
-            F.lit(True).alias("any"),
-            x["sticky"].alias("sticky"),
-            F.concat(s["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), segment.alias("segment")))).alias("out"),
-        )
+    def segments(costs, tops, sticky) -> list[int]:
+        out, size, number, held = [], 0, 0, True
+        for c, t, s in zip(costs, tops, sticky, strict=True):
+            if not held and (size + c > maximum or t and size >= minimum):
+                number, size = number + 1, 0
+            size, held = size + c + 2, s
+            out.append(number)
+        return out
 
-    folded = ordered.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x"))
-    return folded.select(group, F.col("x.pos").alias("pos"), F.col("x.segment").alias("segment"))
+    made = _numbers(segments, F.col("items.cost"), F.col("items.top"), F.col("items.sticky"))
+    placed = ordered.select(group, F.col("items.pos").alias("pos"), made.alias("segment"))
+    return placed.select(group, F.explode(F.arrays_zip("pos", "segment")).alias("x")).select(group, F.col("x.pos").alias("pos"), F.col("x.segment").alias("segment"))
 
 
 def cell_batches(cells: DataFrame, items: int = 32, chars: int = 3_500, by_row: bool = True, group: str = "table_id") -> DataFrame:
     """group, row_no, col_no, batch: a new batch at so many cells or characters, or at a new row."""
-    item = F.struct("row_no", "col_no", F.length("text").cast("long").alias("size"))
+    item = F.struct(F.col("row_no").cast("int").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), F.length("text").cast("long").alias("size"))
     ordered = cells.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.expr("named_struct('n', 0, 'size', 0L, 'row', -1, 'batch', 0L, 'out', cast(array() as array<struct<row_no: int, col_no: int, batch: long>>))")
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] >= items) | (s["size"] + x["size"] > chars)
-        new = (s["n"] > 0) & ((full | (s["row"] != x["row_no"])) if by_row else full)
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            (F.when(new, F.lit(0)).otherwise(s["n"]) + 1).alias("n"),
-            (F.when(new, F.lit(0)).otherwise(s["size"]) + x["size"]).cast("long").alias("size"),
-            x["row_no"].alias("row"),
-            batch.alias("batch"),
-            F.concat(s["out"], F.array(F.struct(x["row_no"].alias("row_no"), x["col_no"].alias("col_no"), batch.alias("batch")))).alias("out"),
-        )
+    def batches(rows, sizes) -> list[int]:
+        out, n, size, number, row = [], 0, 0, 0, None
+        for r, s in zip(rows, sizes, strict=True):
+            if n and (n >= items or size + s > chars or by_row and r != row):
+                n, size, number = 0, 0, number + 1
+            n, size, row = n + 1, size + s, r
+            out.append(number)
+        return out
+
+    made = _numbers(batches, F.col("items.row_no"), F.col("items.size"))
+    placed = ordered.select(group, F.col("items.row_no").alias("row_no"), F.col("items.col_no").alias("col_no"), made.alias("batch"))
+    return placed.select(group, F.explode(F.arrays_zip("row_no", "col_no", "batch")).alias("x")).select(group, "x.row_no", "x.col_no", "x.batch")
 
-    folded = ordered.select(group, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("x"))
-    return folded.select(group, "x.row_no", "x.col_no", "x.batch")
+
+def ordered_positions(rows: DataFrame, place: str, step: int = 1_000) -> DataFrame:
+    """rows with pos: their number from 1 in the order of a numeric ``place``, without one task that sorts them all.
+
+    Rows are numbered within ranges of ``step`` places; the ranges' counts are summed within ranges of
+    ``step`` ranges, and these over all. So a window without a partition sees one row for each
+    ``step`` * ``step`` places.
+    """
+    ranged = rows.withColumn("_part", F.floor(F.col(place) / step)).withColumn("_over", F.floor(F.col("_part") / step))
+    counts = ranged.groupBy("_over", "_part").agg(F.count("*").alias("_n"))
+    until = (Window.unboundedPreceding, -1)
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_over").orderBy("_part").rowsBetween(*until)), F.lit(0))
+    above = counts.groupBy("_over").agg(F.sum("_n").alias("_m"))
+    outer = above.select("_over", F.coalesce(F.sum("_m").over(Window.orderBy("_over").rowsBetween(*until)), F.lit(0)).alias("_before"))
+    offsets = counts.withColumn("_inner", inner).join(outer, "_over").select("_part", (F.col("_inner") + F.col("_before")).alias("_offset"))
+    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(place)))
+    return numbered.join(offsets, "_part").withColumn("pos", F.col("_offset") + F.col("_k")).drop("_part", "_over", "_k", "_offset")
 
 
 def reference_entries(lines: DataFrame, group: str = "doc_id", pos: str = "pos") -> DataFrame:

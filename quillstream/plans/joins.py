@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import joins
+from ..operators import joins, windows
 from ..sources import fixtures
 from ..sources.tables import read_table
 from . import twins
@@ -159,20 +159,11 @@ r AS (SELECT page_id + 100000 AS unit, page_id - 0.5 AS place FROM pages WHERE p
 SELECT unit, row_number() OVER (ORDER BY place) AS pos FROM (SELECT * FROM u UNION ALL SELECT * FROM r)"""
 )
 def f9_ordered_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovered units stand before their anchors; positions of a total order come from ranges.
-
-    ``rank`` without one sorting task: rows are range-partitioned, counted per partition, and
-    numbered within it.
-    """
+    """Recovered units stand before their anchors; positions of a total order without one sorting task."""
     pages = read_table(spark, sf_dir, "pages")
     units = pages.select(F.col("page_id").alias("unit"), F.col("page_id").cast("double").alias("place"))
     recovered = pages.filter("page_id % 4 = 0").select((F.col("page_id") + 100000).alias("unit"), (F.col("page_id") - 0.5).alias("place"))
-    spliced = units.unionByName(recovered).withColumn("part", F.floor(F.col("place") / 1000))
-    before = spliced.groupBy("part").agg(F.count("*").alias("n"))
-    # One row for each thousand places.
-    offset = before.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as offset")
-    numbered = spliced.withColumn("k", F.expr("row_number() over (partition by part order by place)"))
-    return numbered.join(offset, "part").select("unit", (F.col("offset") + F.col("k")).alias("pos"))
+    return windows.ordered_positions(units.unionByName(recovered), "place").select("unit", "pos")
 
 
 @query(

@@ -59,8 +59,9 @@ def c7_normalize_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-SELECT page_id, sha256(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&'), '(?m)^#{1,6}\s+', '', 'g'), '[\s\x{00a0}]+', '', 'g')) AS key FROM pages"""
+SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g'),
+  '(?m)^#{1,6}\s+', '', 'g'), '[\s\x{00a0}]+', '', 'g')) AS key FROM pages"""
 )
 def c8_location_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", F.sha2(T.location_key(F.col("html")).cast("binary"), 256).alias("key"))
