@@ -8,6 +8,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Script characters and their raised and lowered forms (fixed values).
 RAISED_FROM, RAISED_TO = "0123456789+-=()abcdefghijklmnoprstuvwxyz", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐⁿᵒᵖʳˢᵗᵘᵛʷˣʸᶻ"
@@ -53,7 +54,7 @@ def normalize_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Character references of HTML resolved, all of them; in Arrow batches."""
     return text.map(unescape, na_action="ignore")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
+from ..store import Store
 from . import checks
 
 #: Version of the rules that a decision was made under (fixed value).
@@ -58,6 +59,25 @@ def unresolved(indexed: DataFrame) -> DataFrame:
     return indexed.groupBy("chapter").agg(F.count_if(left).alias("open_issues"))
 
 
+def table_page(cells: DataFrame, number: int, size: int = 40, group: str = "table_id") -> DataFrame:
+    """The cells of page ``number`` of each table: its rows, and cells of earlier rows that span into them.
+
+    cells: row_no (from 1), height.
+    """
+    first, last = number * size + 1, (number + 1) * size
+    return cells.filter((F.col("row_no") <= last) & (F.col("row_no") + F.col("height") > first))
+
+
+def publish_index(store: Store, indexed: DataFrame) -> str:
+    """The index as a version of a store, sorted by chapter and rank, so that filters skip files and row groups."""
+    return store.publish({"index": indexed.repartitionByRange("chapter", "rank").sortWithinPartitions("chapter", "rank")})
+
+
+def search_index(store: Store, **how) -> DataFrame:
+    """A search of the current version: nothing is computed again, and only the columns asked for are read."""
+    return select(store.read("index"), **how)
+
+
 def numbered_within(indexed: DataFrame, group: str, order: list[str]) -> DataFrame:
     return indexed.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 

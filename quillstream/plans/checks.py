@@ -108,7 +108,17 @@ def k2_concern_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("unit_id", F.array_join("concerns", "；").alias("reasons"), "rank", checks.category(F.col("rank")).alias("category"))
 
 
-@query()
+@query(
+    TRIAGE_SQL.rsplit("ranked AS (", 1)[0].rstrip().rstrip(",")
+    + """,
+more AS (SELECT unit_id, token, sum(CASE side WHEN 'source' THEN 1 ELSE -1 END) AS b FROM clean GROUP BY unit_id, token HAVING b <> 0),
+each AS (SELECT unit_id, token, b > 0 AS missing, unnest(range(CAST(abs(b) AS BIGINT))) AS k FROM more),
+lists AS (SELECT unit_id, string_agg(token, '、' ORDER BY token) FILTER (WHERE missing) AS a, string_agg(token, '、' ORDER BY token) FILTER (WHERE NOT missing) AS b
+          FROM each GROUP BY unit_id)
+SELECT CAST(split_part(r.unit_id, ':', 2) AS BIGINT) AS unit_id, concat_ws('；', array_to_string(reasons, '；'),
+       CASE WHEN list_contains(reasons, '数字可能发生变化') THEN '原文有而现译缺少：' || a END, CASE WHEN list_contains(reasons, '数字可能发生变化') THEN '现译新增或不同：' || b END) AS detail
+FROM ruled r LEFT JOIN lists l ON 'order:' || l.unit_id = r.unit_id WHERE len(reasons) > 0 AND starts_with(r.unit_id, 'order:')"""
+)
 def c28_issue_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fixtures.order_pairs(spark, sf_dir)
     found = checks.with_concerns(pairs).filter(F.size("concerns") > 0)

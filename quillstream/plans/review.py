@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import review
 from ..sources import fixtures
-from ..sources.tables import read_table
+from ..sources.tables import read_table, scratch
+from ..store import Store
 from . import twins
 from .registry import query
 
@@ -68,6 +69,26 @@ def h12_result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.page(review.select(_index_only(spark, sf_dir), status="all"), 2)
 
 
+@query(
+    twins.with_(twins.CELLS)
+    + """
+SELECT table_id, row_no, col_no, text FROM cells WHERE row_no <= 6 AND row_no + CASE WHEN row_no % 2 = 1 THEN 3 ELSE 1 END > 4"""
+)
+def h12_table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of three rows of every table, with the cells that span into it."""
+    height = F.when(F.col("row_no") % 2 == 1, 3).otherwise(1)
+    cells = fixtures.cells(spark, sf_dir).withColumn("height", height)
+    return review.table_page(cells, 1, 3).select("table_id", "row_no", "col_no", "text")
+
+
+@query(INDEXED + "SELECT parent_id, min(rank) AS rank FROM indexed WHERE len(issues) > 0 AND status = 'open' AND chapter = 'chapter 4' GROUP BY parent_id")
+def e4_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written once and searched from its stored version."""
+    store = Store(spark, scratch(spark, "index"))
+    review.publish_index(store, _indexed(spark, sf_dir))
+    return review.search_index(store, chapter="chapter 4")
+
+
 @query(INDEXED + "SELECT chapter, count(DISTINCT unit_id) FILTER (WHERE len(issues) > 0 AND status = 'open') AS open_issues FROM indexed GROUP BY chapter")
 def g14_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = _indexed(spark, sf_dir).dropDuplicates(["unit_id"])

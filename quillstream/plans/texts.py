@@ -163,7 +163,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.unionByName(first)
 
 
-@query(
+MATCHES_SQL = (
     twins.with_(twins.GLOSSARY)
     + """,
 firsts AS (SELECT DISTINCT split_part(source, ' ', 1) AS f FROM glossary WHERE layer = 'global')
@@ -172,12 +172,18 @@ UNION ALL SELECT p_partkey, pos, 1, w, '短' FROM (SELECT p_partkey, 5 AS pos, l
 UNION ALL SELECT p_partkey, 10, 1, split_part(p_name, ' ', 1), '短' FROM part
 UNION ALL SELECT p_partkey, 13, 1, 'small', '短' FROM part WHERE 'small' IN (SELECT f FROM firsts)"""
 )
+
+
+@query(MATCHES_SQL)
 def d24_f5_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary terms in texts: the longest at each place, none inside a longer word."""
     return terms.longest_matches(_catalogue(spark, sf_dir), _terms(spark, sf_dir), "p_partkey", "text")
 
 
-@query()
+@query(
+    MATCHES_SQL.replace("SELECT p_partkey, 2 AS pos", ", m AS (SELECT p_partkey, 2 AS pos", 1)
+    + ") SELECT DISTINCT p_partkey, source AS term, target AS wanted FROM m WHERE NOT contains('译' || (p_partkey % 64), target)"
+)
 def k5_glossary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.violations(_catalogue(spark, sf_dir), _terms(spark, sf_dir), "p_partkey", "text", "target")
 
