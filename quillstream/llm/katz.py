@@ -416,7 +416,8 @@ def _ask_pairs(buckets: int, hot_from: float):
 
 def _ask_trigrams(buckets: int, hot_from: float):
     """Messages: middle words (twice the number, plus 1 for hot ones), words before, words, the block's counts,
-    counts of the words, and for hot middle words the counts of the last two words."""
+    counts of the distinct words in the order of their numbers, and for hot middle words the counts of
+    the last two words."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         row, answers = _parts_of(group)
@@ -424,8 +425,9 @@ def _ask_trigrams(buckets: int, hot_from: float):
         g, pairs, rows = block.trigrams(), block.hot_pairs(), []
         lower, hot = _hot_lower(block, g, pairs, answers[2]), block.hot[g.near]
         for k, at in _split(block.trigram_buckets(g)):
-            near = block.number[g.near[at]] * 2 + hot[at]
-            rows.append((block.block, k, _packed(near, block.numbers(g.far[at]), block.numbers(g.word[at]), g.learned[at], block.counts(g.word[at]), lower[at][hot[at]])))
+            near, word = block.number[g.near[at]] * 2 + hot[at], block.numbers(g.word[at])
+            counts = block.counts(g.word[at])[np.unique(word, return_index=True)[1]]
+            rows.append((block.block, k, _packed(near, block.numbers(g.far[at]), word, g.learned[at], counts, lower[at][hot[at]])))
         return _rows(rows, _REQUEST)
 
     return run
@@ -490,6 +492,7 @@ def _answer_trigrams(unigrams: Unigrams, of_words: np.ndarray):
         numbers that determine their alpha. stat: counts of counts of bigrams (hot ones apart) and trigrams."""
         cells = _cells(group)
         sizes = np.cumsum([len(x) for x in cells[0]])[:-1]
+        cells[4] = [c[np.unique(w, return_inverse=True)[1]] for w, c in zip(cells[2], cells[4], strict=True)]
         near, far, word, learned, counts, hot_lower = map(np.concatenate, cells)
         given = np.zeros(len(near), np.int64)
         given[near % 2 == 1] = hot_lower
