@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of texts that go to Python at once, where the session has Spark's own bound (64 MB).
+TEXT_BATCH, ARROW_BYTES, DEFAULT_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes: ten thousand rows of texts are too much for a worker."""
+    if spark.conf.get(ARROW_BYTES, f"{DEFAULT_BYTES}b").rstrip("b") == str(DEFAULT_BYTES):
+        spark.conf.set(ARROW_BYTES, f"{TEXT_BATCH}b")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, through Spark's reader only."""
+    _bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -75,7 +90,7 @@ def per_text(rows: DataFrame, added: dict[str, str], compute: Callable[[list[str
     """The columns of ``rows`` but ``text``, and for each row what ``compute`` makes of its text.
 
     compute: from the texts of a batch, portions (first row, row after the last, the added
-    columns). All other columns pass through as Arrow arrays: an id keeps its 64 bits, and
+    columns, as lists or Arrow arrays). All other columns pass through as Arrow arrays: an id keeps its 64 bits, and
     null, whatever stands beside it.
     """
     kept = [f for f in rows.schema.fields if f.name != "text"]
@@ -87,7 +102,7 @@ def per_text(rows: DataFrame, added: dict[str, str], compute: Callable[[list[str
             texts = b.column("text").to_pylist()
             for start, end, made in compute(texts):
                 own = [b.column(f.name).slice(start, end - start) for f in kept]
-                own += [pa.array(x, t) for x, t in zip(made, types, strict=True)]
+                own += [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(own, names=names)
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in added.items()])
@@ -99,8 +114,27 @@ def whole(compute: Callable[[list[str | None]], list]) -> Callable[[list[str | N
     return lambda texts: iter([(0, len(texts), compute(texts))] if texts else [])
 
 
+_RESIDENT: list[tuple[Any, Any]] = []
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` makes, kept in the worker process until another key is asked for.
+
+    Workers are used again for later tasks, of other operators too: so what one operator remembers lasts
+    over its tasks, and doesn't add to what the next one does.
+    """
+    if not _RESIDENT or _RESIDENT[0][0] != key:
+        _RESIDENT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # glibc: what was freed goes back to the system
+        _RESIDENT.append((key, make()))
+    return _RESIDENT[0][1]
+
+
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id (long), the further columns, text (string)."""
+    _bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
 
 
