@@ -4,6 +4,12 @@ Toxic documents go, then all but one of equal texts, all but one of each group o
 near-duplicates, and documents that leak benchmark items; the rest is encoded. Every stage
 but the last returns the columns of ``documents``. ``run`` writes each stage as Parquet in the
 shared folder and reads it again for the next one.
+
+Edge cases: null and empty texts are no toxic documents, equal each other, hold no leak and have no
+tokens, so one of them goes through. Of rows that repeat id and text one stays; of rows without an id, one
+of each text, and it is never a near copy or a leak of another. Ids that repeat with different texts count as
+one document from the near-duplicate stage on. An empty table stays empty, and further columns pass through
+all stages but the last.
 """
 
 from __future__ import annotations
