@@ -103,7 +103,8 @@ def active_issues(units: DataFrame, edits: DataFrame, confirmations: DataFrame)
         F.when(F.col("edit_terms").isNotNull() & (F.col("edit_terms") != F.col("terms")), F.array(F.lit(TERMS_CHANGED))).otherwise(none),
     )
     listed = F.array_distinct(F.when(F.col("kind").isin(*UNREAD), F.col("issues")).otherwise(checked))
-    found = joined.withColumn("_all", listed).drop("_fresh", "term_issues")
+    # A generator keeps the list from being made once more wherever it is named.
+    found = joined.select("*", F.explode(F.array(listed)).alias("_all")).drop("_fresh", "term_issues")
     saved = confirmations.select("unit_id", F.col("key").alias("_key"))
     holds = F.col("_key").eqNullSafe(confirmation_key(F.col("source"), F.col("effective"), F.col("_all"), F.col("terms")))
     return found.join(saved, "unit_id", "left").withColumn("active", F.when(holds, none).otherwise(F.col("_all"))).drop("_key", "_all", "edit_terms")

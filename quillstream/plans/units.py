@@ -56,7 +56,7 @@ def _order_units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
             "terms": F.when(k % 3 == 0, terms).otherwise(F.array().cast(issues.TERMS)),
         }
     )
-    last = F.struct(F.concat(F.lit("第 "), k, F.lit(" 号")).alias("text"), F.array().cast(issues.TERMS).alias("terms"))
+    last = F.struct(F.concat(F.lit("第 "), k, F.lit(" 号")).alias("text"), F.from_json(F.lit("[]"), issues.TERMS).alias("terms"))
     stale = F.when(k % 25 == 0, F.lit("old")).otherwise(F.col("source_hash"))
     edits = units.filter("unit_id % 5 = 0").select("unit_id", stale.alias("source_hash"), F.array(last).alias("history"))
     listed = F.when(F.col("kind") == "reference", F.col("issues"))
