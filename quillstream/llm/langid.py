@@ -67,12 +67,12 @@ def _packed(texts: list[str | None]) -> Iterator[tuple[int, int, list]]:
 def training_rows(docs: DataFrame, learn: Column, fit_rows: int = FIT_ROWS) -> list:
     """At most ``fit_rows`` rows (doc_id, lang, bits), as many for each language, by a hash of the id."""
     known = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect() if r["n"]}
     if not sizes:
         return []
     each = max(2, fit_rows // len(sizes))
     order = F.xxhash64(F.lit(17), "doc_id")
-    # A share that gives twice the rows wanted; of them exactly the first `each` are taken.
+    # A share that gives twice the ids wanted, by a sketch of their number; of them exactly the first `each` are taken.
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 2 * each / n + 20 / n))) for k, n in sizes.items()))
     near = known.filter(F.pmod(order, F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
