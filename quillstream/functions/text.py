@@ -49,6 +49,16 @@ def unwrap_fence(text: Column) -> Column:
     return F.when(whole.rlike(r"(?is)^```(?:markdown|md|text)?\s*.*?```$"), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(whole)
 
 
+def clean_latex(text: Column) -> Column:
+    """The text as it is: formulas are made readable where they are shown, not here."""
+    return text
+
+
+def unit_id(prefix: str, number: Column, digits: int) -> Column:
+    """A running number as an identifier, as ``b000012``."""
+    return F.format_string(f"{prefix}%0{digits}d", number)
+
+
 def normalize_line(text: Column) -> Column:
     """One blank between words, none around, no-break spaces included."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\u00a0", " "), r"(?U)\s+", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 #: States of a part, the furthest last (fixed values).
 STATES = ("new", "waiting-file", "uploaded", "pending", "running", "converting", "done", "failed")
 
@@ -36,6 +38,29 @@ def plan(boundaries: DataFrame, book: str = "book", largest: int = 200, target:
     return out.select(book, "part_no", "p.start", "p.end", "p.reason")
 
 
+def split_by_size(parts: DataFrame, pages: DataFrame, limit: int, book: str = "book") -> DataFrame:
+    """book, part_no, piece, start, end, bytes: parts cut so that no piece is larger than ``limit`` by measured pages.
+
+    parts: book, part_no, start, end. pages: book, page, bytes. A piece ends before the page that would
+    exceed the limit; a single larger page is a piece of its own.
+    """
+    inside = parts.join(pages, book).filter((F.col("page") >= F.col("start")) & (F.col("page") < F.col("end")))
+    listed = inside.groupBy(book, "part_no").agg(F.array_sort(F.collect_list(F.struct("page", F.col("bytes").cast("long").alias("bytes")))).alias("p"))
+
+    def pieces(sizes) -> list[int]:
+        out, size, number = [], 0, 0
+        for b in sizes:
+            if size and size + b > limit:
+                size, number = 0, number + 1
+            size += b
+            out.append(number)
+        return out
+
+    placed = listed.select(book, "part_no", "p", numbered(pieces, F.col("p.bytes")).alias("piece"))
+    rows = placed.select(book, "part_no", F.explode(F.arrays_zip("p", "piece")).alias("x")).select(book, "part_no", "x.p.*", "x.piece")
+    return rows.groupBy(book, "part_no", "piece").agg(F.min("page").alias("start"), (F.max("page") + 1).alias("end"), F.sum("bytes").alias("bytes"))
+
+
 def rank_of(state: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, STATES)), state)
 

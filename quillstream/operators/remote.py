@@ -119,6 +119,29 @@ def new_cache_rows(translated: DataFrame, text: str) -> DataFrame:
     return good.select(fingerprint(F.col(text)).alias("key"), "translated").dropDuplicates(["key"])
 
 
+#: Version of the cache's rows (fixed value).
+CACHE_VERSION = 2
+
+
+def cache_entries(answers: DataFrame) -> DataFrame:
+    """key, version, text, sha256 of answers (key, text) to keep; empty ones are refused."""
+    kept = answers.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return kept.select("key", F.lit(CACHE_VERSION).alias("version"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def sound_entries(cache: DataFrame) -> DataFrame:
+    """key, translated of the cache's entries whose version and digest hold; others are misses."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    sound = (F.col("version") == CACHE_VERSION) & (F.trim("text") != "") & (F.col("sha256") == digest)
+    return cache.filter(sound).select("key", F.col("text").alias("translated"))
+
+
+def segment_results(done: DataFrame, key: str) -> DataFrame:
+    """key, output_hash, status of translated segments (``translate_segments``): what a resumed job compares with."""
+    status = F.when(~F.col("ok"), "failed").when(F.size("warnings") > 0, "needs_review").otherwise("completed")
+    return done.select(key, F.sha2(F.col("translated").cast("binary"), 256).alias("output_hash"), status.alias("status"))
+
+
 class Unavailable(ServiceError):
     """An answer of the service that says no: status, and whether a later try may succeed."""
 

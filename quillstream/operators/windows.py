@@ -61,7 +61,7 @@ def cost(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("table", "formula", "image", "code", "reference"), F.lit(60)).otherwise(F.length(text))
 
 
-def _numbers(number: Callable[..., list[int]], *columns: Column) -> Column:
+def numbered(number: Callable[..., list[int]], *columns: Column) -> Column:
     """array<bigint>: a number for each item of a group's parallel arrays, by a linear pass in Arrow batches."""
 
     def run(group: pd.DataFrame) -> pd.Series:
@@ -96,7 +96,7 @@ def packed(blocks: DataFrame, maximum: int = 10_000, minimum: int = 1_800, group
             out.append(number)
         return out
 
-    made = _numbers(segments, F.col("items.cost"), F.col("items.top"), F.col("items.sticky"))
+    made = numbered(segments, F.col("items.cost"), F.col("items.top"), F.col("items.sticky"))
     placed = ordered.select(group, F.col("items.pos").alias("pos"), made.alias("segment"))
     return placed.select(group, F.explode(F.arrays_zip("pos", "segment")).alias("x")).select(group, F.col("x.pos").alias("pos"), F.col("x.segment").alias("segment"))
 
@@ -115,7 +115,7 @@ def cell_batches(cells: DataFrame, items: int = 32, chars: int = 3_500, by_row:
             out.append(number)
         return out
 
-    made = _numbers(batches, F.col("items.row_no"), F.col("items.size"))
+    made = numbered(batches, F.col("items.row_no"), F.col("items.size"))
     placed = ordered.select(group, F.col("items.row_no").alias("row_no"), F.col("items.col_no").alias("col_no"), made.alias("batch"))
     return placed.select(group, F.explode(F.arrays_zip("row_no", "col_no", "batch")).alias("x")).select(group, "x.row_no", "x.col_no", "x.batch")
 

@@ -236,6 +236,26 @@ def d27_part_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.plan(hints.join(pages, "book")).select("book", "part_no", "start", "end")
 
 
+@query(
+    """
+WITH RECURSIVE p AS (SELECT o_custkey AS book, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS page, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders),
+f AS (
+  SELECT book, page, bytes, CAST(0 AS BIGINT) AS piece, CAST(bytes AS BIGINT) AS size FROM p WHERE page % 8 = 0
+  UNION ALL
+  SELECT p.book, p.page, p.bytes, CASE WHEN f.size + p.bytes > 300000 THEN f.piece + 1 ELSE f.piece END, CASE WHEN f.size + p.bytes > 300000 THEN p.bytes ELSE f.size + p.bytes END
+  FROM f JOIN p ON p.book = f.book AND p.page = f.page + 1 AND p.page % 8 <> 0)
+SELECT book, page // 8 AS part_no, piece, min(page) AS start, max(page) + 1 AS "end", CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY 1, 2, 3"""
+)
+def d27_split_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of eight pages cut where their measured size asks for it."""
+    orders = read_table(spark, sf_dir, "orders")
+    place = F.expr("row_number() over (partition by o_custkey order by o_orderkey) - 1")
+    pages = orders.select(F.col("o_custkey").alias("book"), place.alias("page"), F.floor("o_totalprice").alias("bytes"))
+    parts = pages.select("book", F.expr("page div 8").alias("part_no")).distinct()
+    parts = parts.withColumns({"start": F.col("part_no") * 8, "end": F.col("part_no") * 8 + 8})
+    return P.split_by_size(parts, pages, 300_000)
+
+
 @query(
     """
 SELECT l_orderkey AS part, arg_max(st, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS state, bool_or(st = 'submission_unknown') AS poisoned,

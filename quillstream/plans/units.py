@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import issues, remote
+from ..functions import text as T
+from ..operators import issues, remote, review
 from ..sources import fixtures
 from ..sources.tables import read_table, spread
 from . import twins
@@ -288,3 +289,60 @@ def e3_e10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     prose = F.count_if(F.col("kind").isin(*PROSE)).alias("prose")
     return fixtures.blocks(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), prose, F.count_if(issues.editable(F.col("kind"))).alias("editable"))
+
+
+@query(
+    """
+SELECT o_orderkey AS key, '译 ' || o_orderkey AS translated FROM orders WHERE o_orderkey % 5 NOT IN (1, 2, 3)"""
+)
+def b11_n5_cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the request cache that hold: not of an older version, not damaged, never empty."""
+    k = F.col("key")
+    answers = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    answers = answers.withColumn("text", F.when(k % 5 == 1, " ").otherwise(F.concat(F.lit("译 "), k)))
+    damaged = F.when(k % 5 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    kept = remote.cache_entries(answers).withColumns({"text": damaged, "version": F.when(k % 5 == 3, 1).otherwise(F.col("version"))})
+    return remote.sound_entries(kept)
+
+
+@query(
+    twins.with_(twins.ORDER_PAIRS)
+    + "SELECT unit_id, sha256('译：' || source) AS output_hash FROM order_pairs"
+)
+def b12_segment_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every segment's result, as kept in a job's state."""
+    pairs = spread(fixtures.order_pairs(spark, sf_dir)).select("unit_id", F.col("source").alias("text"))
+    return remote.segment_results(remote.translate_segments(pairs, "unit_id", "text", marked_stub), "unit_id").select("unit_id", "output_hash")
+
+
+@query(
+    twins.with_(twins.LINES)
+    + "SELECT doc_id, pos, printf('b%06d', pos) AS block_id, printf('s%05d', pos // 3) AS segment_id, sha256(line) AS h FROM lines"
+)
+def h5_c6_unit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of blocks and segments; the text of formulas is left as it is."""
+    lines = fixtures.lines(spark, sf_dir)
+    ids = [T.unit_id("b", F.col("pos"), 6).alias("block_id"), T.unit_id("s", F.expr("pos div 3"), 5).alias("segment_id")]
+    return lines.select("doc_id", "pos", *ids, F.sha2(T.clean_latex(F.col("line")).cast("binary"), 256).alias("h"))
+
+
+@query(
+    twins.with_(twins.GLOSSARY)
+    + """
+SELECT layer, source, row_number() OVER (PARTITION BY layer ORDER BY lower(source)) AS place FROM glossary"""
+)
+def i2_glossary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of each layer in the order of their keys."""
+    entries = fixtures.glossary(spark, sf_dir).withColumn("key", T.term_key(F.col("source")))
+    return review.numbered_within(entries, "layer", ["key"]).select("layer", "source", "place")
+
+
+@query(
+    """
+SELECT page_id, page, row_number() OVER (PARTITION BY page_id // 200 ORDER BY page, y, page_id) AS place
+FROM (SELECT page_id, CAST(page_id % 20 + 1 AS INTEGER) AS page, page_id * 37 % 700 AS y FROM pages)"""
+)
+def i5_recovered_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered units of each book by page and height."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 200").alias("book"), (F.col("page_id") % 20 + 1).cast("int").alias("page"), (F.col("page_id") * 37 % 700).alias("y"))
+    return review.numbered_within(pages, "book", ["page", "y", "page_id"]).select("page_id", "page", "place")

@@ -9,6 +9,7 @@ was left. ``expected`` makes publishing conditional on the version that was read
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,25 @@ class Store:
             self._fs.delete(lock, False)
 
 
+def migrate(store: Store, table: str, to: int, steps: dict[int, Callable[[DataFrame], DataFrame]]) -> str | None:
+    """Brings a table to schema version ``to``, a step at a time, and publishes it; the version before stays as backup.
+
+    The table has a column schema_version. steps: from each version, the table of the next. Nothing is
+    published if all rows are at ``to``; a table with rows of a later version is left alone, as an error.
+    """
+    before = store.current()
+    now = store.read(table, before)
+    found = sorted(r[0] for r in now.select("schema_version").distinct().collect())
+    if found and found[-1] > to:
+        raise ValueError(f"{table} has schema version {found[-1]}, later than {to}")
+    if all(v == to for v in found):
+        return None
+    for v in range(found[0], to):
+        older, rest = now.filter(F.col("schema_version") == v), now.filter(F.col("schema_version") != v)
+        now = steps[v](older).withColumn("schema_version", F.lit(v + 1)).unionByName(rest, allowMissingColumns=True)
+    return store.publish({table: now}, expected=before)
+
+
 def current_edits(log: DataFrame) -> DataFrame:
     """unit_id, source_hash, history of an append-only log (unit_id, source_hash, text, at, undone)."""
     live = log.groupBy("unit_id").agg(

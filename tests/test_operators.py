@@ -248,3 +248,16 @@ def test_recovery_leaves_a_live_publisher_alone(spark, tmp_path):
         assert now == v and store.publish({"t": spark.range(3)}) != v and store.read("t", now).count() == 1
         with pytest.raises(Conflict), store.exporting():
             pass
+
+
+def test_migrations_keep_the_version_before(spark, tmp_path):
+    from quillstream.store import migrate
+
+    store = Store(spark, f"{tmp_path}/store")
+    first = store.publish({"t": spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, name string, schema_version int")})
+    steps = {1: lambda df: df.withColumn("name", F.upper("name")), 2: lambda df: df.withColumn("size", F.length("name"))}
+    migrate(store, "t", 3, steps)
+    assert sorted(tuple(r) for r in store.read("t").select("id", "name", "size", "schema_version").collect()) == [(1, "A", 1, 3), (2, "b", 1, 3)]
+    assert store.read("t", first).count() == 2 and migrate(store, "t", 3, steps) is None
+    with pytest.raises(ValueError):
+        migrate(store, "t", 2, steps)
