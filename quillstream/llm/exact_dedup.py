@@ -89,8 +89,6 @@ class _Passes:
         maybe = _maybe(self.bitmap, self.slots)
         self.alone = self.hashes.filter(~maybe)
         self.maybe = self.hashes.filter(maybe)
-        agg = (F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        self.groups = written(self.maybe.groupBy("text_sha256").agg(*agg), "text_groups")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -103,7 +101,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.lit(True).alias("kept"),
         "text_sha256",
     )
-    grouped = attached(passes.maybe, passes.groups, "text_sha256", "group_size", passes.count).select(
+    agg = (F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(passes.maybe.groupBy("text_sha256").agg(*agg), "text_groups")
+    grouped = attached(passes.maybe, groups, "text_sha256", "group_size", passes.count).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionAll(grouped)
@@ -112,20 +112,27 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts, that with the smallest id.
 
-    Rows that the filter lets through are not moved. Of the others only those with the id that
-    stays are, and these one for each text, unless an id repeats with its text.
+    Rows that the filter lets through are not moved. Of the others those stay that have the hash
+    and the id of a winner; hash and id together are no hot key. Only where an id repeats with
+    its text are whole rows compared.
     """
     passes = _Passes(docs.select("doc_id", text_sha256().alias("text_sha256")))
-    sha = "__text_sha256"
-    hashed = docs.withColumn(sha, text_sha256())
-    maybe = _maybe(passes.bitmap, passes.slots, sha)
-    wins = passes.groups.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias("__keep_id"), "group_size")
-    wins = wins.withColumnRenamed("group_size", "__group_size")
-    first = attached(hashed.filter(maybe), wins, sha, "__group_size", passes.count).filter(
-        F.col("doc_id").eqNullSafe(F.col("__keep_id"))
-    )
-    one = first.groupBy(sha).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return hashed.filter(~maybe).select(*docs.columns).unionByName(one.select(*docs.columns))
+    same = passes.maybe.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
+    least = F.min_by(F.struct("doc_id", "n"), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    wins = same.groupBy("text_sha256").agg(least.alias("w")).select(F.col("text_sha256").alias("__sha"), F.col("w.doc_id").alias("__id"), F.col("w.n").alias("__n"))
+    wins = written(wins, "text_winners")
+    hashed = docs.withColumn("__text_sha256", text_sha256())
+    maybe = _maybe(passes.bitmap, passes.slots, "__text_sha256")
+
+    def winners(of: DataFrame) -> DataFrame:
+        return hashed.filter(maybe).join(of, (F.col("__text_sha256") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+    out = hashed.filter(~maybe).unionByName(winners(wins.filter("__n = 1")))
+    repeated = wins.filter("__n > 1")
+    if not repeated.isEmpty():
+        one = winners(repeated).groupBy("__text_sha256").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        out = out.unionByName(one.select("row.*", "__text_sha256"))
+    return out.select(*docs.columns)
 
 
 ORACLE = r"""

@@ -185,11 +185,13 @@ def test_a_hot_text_and_a_hot_node(spark, make_docs):
     got = exact_dedup.exact_dedup(make_docs(rows)).collect()
     assert len(got) == 9000 and sum(not r.kept for r in got) == 2999
     star = spark.createDataFrame([(0, i) for i in range(1, 5000)], "a long, b long")
-    roots = components.connected_components(star).collect()
+    roots = components.connected_components(star, few=0).collect()
     assert len(roots) == 4999 and {r.root for r in roots} == {0}
 
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 41)} | {1000 + i: 1000 for i in range(1, 200)}
+    for few in (0, components.FEW):
+        got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), few).collect()
+        assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 41)} | {1000 + i: 1000 for i in range(1, 200)}
+    assert components.connected_components(spark.createDataFrame([(7, 7)], "a long, b long")).collect() == []
