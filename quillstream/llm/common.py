@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of texts that go to Python at once, where the session has Spark's own bound (64 MB).
-TEXT_BATCH, ARROW_BYTES, DEFAULT_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+TEXT_BATCH, ARROW_BYTES, DEFAULT_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def _bounded_batches(spark: SparkSession) -> None:
@@ -115,6 +115,7 @@ def whole(compute: Callable[[list[str | None]], list]) -> Callable[[list[str | N
 
 
 _RESIDENT: list[tuple[Any, Any]] = []
+M_ARENA_MAX = -8
 
 
 def resident(key: Any, make: Callable[[], Any]) -> Any:
@@ -127,7 +128,9 @@ def resident(key: Any, make: Callable[[], Any]) -> Any:
         _RESIDENT.clear()
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # glibc: what was freed goes back to the system
+            libc = ctypes.CDLL(None)  # glibc: one arena for all threads, and what was freed goes back to the system
+            libc.mallopt(M_ARENA_MAX, 1)
+            libc.malloc_trim(0)
         _RESIDENT.append((key, make()))
     return _RESIDENT[0][1]
 

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_ids, written
+from .common import resident, without_ids, written
 
 WINDOW, LITERALS, SHORTEST = 8, 4, 5
 COVERAGE, RUN = 0.6, 13
@@ -74,7 +74,7 @@ def _code(word: str) -> int:
 class Canonicaliser:
     """Template tokens of a text with their codes; remembers the codes of tokens."""
 
-    MEMO = 1 << 19
+    MEMO = 1 << 17
     PLAIN, CAPITAL, STOP = 1, 2, 4
 
     def __init__(self) -> None:
@@ -119,10 +119,9 @@ class Canonicaliser:
         return tokens, words, codes, plain & ~name, opens + 2 * closes.astype(np.int8)
 
 
-@lru_cache(maxsize=1)
 def canonicaliser() -> Canonicaliser:
     """One for each worker process, so that its memory of tokens lasts over tasks."""
-    return Canonicaliser()
+    return resident("canonicaliser", Canonicaliser)
 
 
 def window_hashes(codes: np.ndarray, plain: np.ndarray, size: int, exact: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

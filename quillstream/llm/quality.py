@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -28,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, per_text, texts_of
+from .common import fold, held_out, per_text, resident, texts_of
 from .sampling import labelled_sample, sampled_texts
 
 #: Bound on the labelled rows to fit on, half of it for either class.
@@ -94,10 +93,9 @@ class Features:
         return index[first], value / math.sqrt(float(value @ value))
 
 
-@lru_cache(maxsize=1)
 def features() -> Features:
     """One for each worker process, so that its memory of words lasts over tasks."""
-    return Features()
+    return resident("features", Features)
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:

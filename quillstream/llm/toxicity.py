@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, per_text, texts_of, written
+from .common import fold, held_out, per_text, resident, texts_of, written
 from .sampling import labelled_sample, sampled_texts
 
 #: Bound on the labelled rows to fit on, half of it for either class.
@@ -62,7 +62,7 @@ def tokens(text: str | None) -> list[str]:
 class Weights(dict):
     """Weights of tokens, looked up by token or stem once for each token; None: the common one."""
 
-    MEMO = 1 << 19
+    MEMO = 1 << 16
 
     def __init__(self, known: dict[str, float]) -> None:
         super().__init__()
@@ -185,21 +185,34 @@ def _keys(token: str) -> list[str]:
     return [token, *(f"{token[:n]}*" for n in STEMS if len(token) > n)]
 
 
+#: Tokens and stems counted before they are handed on, which bounds the memory of a task.
+COUNTED = 100_000
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """token, n0, n1, d: partial counts of tokens and stems, by class, and of the documents that hold them."""
     n, docs = (Counter(), Counter()), Counter()
+
+    def made() -> pd.DataFrame:
+        keys = list(docs)
+        out = pd.DataFrame({"token": keys, "n0": [n[0][k] for k in keys], "n1": [n[1][k] for k in keys], "d": [docs[k] for k in keys]})
+        for c in (*n, docs):
+            c.clear()
+        return out
+
+    resident("toxicity", object)
     for b in batches:
         for text, y in zip(b["text"], b["y"], strict=True):
-            words = tokens(text)
-            n[int(y)].update(words)
-            docs.update({k for w in set(words) for k in _keys(w)})
-    total = Counter(), Counter()
-    for y in (0, 1):
-        for w, c in n[y].items():
-            for k in _keys(w):
-                total[y][k] += c
-    keys = list(docs)
-    if keys:
-        yield pd.DataFrame({"token": keys, "n0": [total[0][k] for k in keys], "n1": [total[1][k] for k in keys], "d": [docs[k] for k in keys]})
+            held = Counter()
+            for w, c in Counter(tokens(text)).items():
+                for k in _keys(w):
+                    held[k] += c
+            n[int(y)].update(held)
+            docs.update(held.keys())
+            if len(docs) >= COUNTED:
+                yield made()
+    if docs:
+        yield made()
 
 
 def _solve(weights: np.ndarray, mass: np.ndarray) -> float:
@@ -314,6 +327,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", part
 
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
+        resident("toxicity", object)
         return pd.Series([score(t, model) >= 0.5 for t in texts], dtype=bool)
 
     return docs.filter(~toxic(F.col("text").cast("string")))
