@@ -41,7 +41,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_equal, parity."""
-    rows = sentencepiece_codec.encode(docs, verify=True)
+    # Workers of the stages before still hold memory, so few words are remembered here.
+    rows = sentencepiece_codec.encode(docs, verify=True, remember=1 << 16)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_equal", "parity")
 
 
