@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, attached, forget, per_text, texts_of, whole, without_ids, written
+from .common import BROADCAST_IDS, attached, forget, per_text, resident, texts_of, whole, without_ids, written
 from .components import connected_components
 from .simhash import BLOCK_BITS, anchors
 
@@ -51,6 +51,8 @@ CLOSE = 14
 #: Groups up to so many nodes give all pairs; others are taken in chunks of CHUNK rows.
 SMALL, CHUNK, PIVOTS, NEIGHBOURS = 3, 1 << 16, 4, 4
 ROUNDS, TRIALS = 100, 3
+#: Nodes that one task replicates.
+TASK_NODES = 8_192
 _SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, np.uint64)
 _MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BITS, _LANES = np.arange(8, dtype=np.uint64)[None, :, None], np.uint64(0x0101010101010101)
@@ -89,6 +91,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _fingerprints(texts: list[str | None]) -> list:
+    resident("similar", object)
     return [[fingerprint(shingles(t)).tobytes() for t in texts]]
 
 
@@ -192,7 +195,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     prints = per_text(texts_of(docs).filter("doc_id is not null"), {"fp": "binary"}, whole(_fingerprints))
     prints = written(prints.groupBy("doc_id").agg(F.min("fp").alias("fp")), "wide_fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "wide_classes")
-    rows = nodes.mapInPandas(_replicate, "anchor long, node long, piece long")
+    # A node makes about 250 rows, so that a file of nodes is far too much for a task.
+    dealt = nodes.select("node", "fp").repartition(nodes.count() // TASK_NODES + 1)
+    rows = dealt.mapInPandas(_replicate, "anchor long, node long, piece long")
     met = rows.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_pairs, "a long, b long")
     met = written(met.distinct(), "met")
     side = {s: nodes.select(F.col("node").alias(s), F.col("fp").alias(f"fp_{s}")) for s in "ab"}
@@ -216,21 +221,23 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts = written(texts, "near_texts")
     tested = docs.sparkSession.createDataFrame([], "a long, b long, near boolean")
     roots = tested.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    spent = roots.select("root")
+    spent, rest, last = roots.select("root"), near, tested
     for _ in range(ROUNDS):
-        placed = near.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        # Candidates that are neither tested nor within a component: they get fewer with every round.
+        placed = rest.select("a", "b", "d").join(last.select("a", "b"), ["a", "b"], "left_anti")
         for s in "ab":
             placed = placed.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")), s, "left")
             placed = placed.withColumn(f"r{s}", F.coalesce(f"r{s}", s))
-        outward = placed.filter("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("d", "a", "b").alias("edge"))
-        nearest = outward.groupBy("root").agg(F.min("edge").alias("e")).select("root", "e.a", "e.b")
+        rest = written(placed.filter("ra <> rb"), "untested")
+        sides = [rest.groupBy(F.col(r).alias("root")).agg(F.min(F.struct("d", "a", "b")).alias("e")) for r in ("ra", "rb")]
+        nearest = sides[0].unionByName(sides[1]).groupBy("root").agg(F.min("e").alias("e")).select("root", "e.a", "e.b")
         done = spent.groupBy("root").count().filter(F.col("count") >= TRIALS).select("root")
         proposed = written(nearest.join(done, "root", "left_anti"), "proposed")
-        fresh = written(_verified(proposed.select("a", "b").distinct(), texts), "verified")
-        if fresh.filter("near").isEmpty():
+        last = written(_verified(proposed.select("a", "b").distinct(), texts), "verified")
+        if last.filter("near").isEmpty():
             break
-        tested = tested.unionByName(fresh)
-        spent = spent.unionByName(proposed.join(fresh.filter("not near"), ["a", "b"]).select("root"))
+        tested = tested.unionByName(last)
+        spent = spent.unionByName(proposed.join(last.filter("not near"), ["a", "b"]).select("root"))
         roots = connected_components(tested.filter("near"))
     else:
         raise RuntimeError(f"near-duplicates didn't settle in {ROUNDS} rounds")

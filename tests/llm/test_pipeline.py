@@ -42,3 +42,28 @@ def test_pipeline_edge_cases(spark, odd, empty, sf_dir):
         for name, stage in pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         docs.collect()
+
+
+def test_stages_match_brute_force(spark, sf_dir):
+    """After the first stage, every stage by its definition on small whole tables."""
+    import re
+
+    from test_similar import brute_kept
+    from test_texts import brute_leaks
+
+    from quillstream.llm.common import read_table, written
+
+    docs = written(pipeline.drop_toxic(spark, read_table(spark, sf_dir, "documents"), sf_dir), "brute")
+    items = [(r.item_id, r.text) for r in read_table(spark, sf_dir, "benchmark").collect()]
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    first = {}
+    for i in sorted(rows):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i] or ""), i)
+    exact = pipeline.drop_copies(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in exact.collect()) == sorted(first.values())
+    near = pipeline.drop_near_copies(spark, written(exact, "brute"), sf_dir)
+    kept = brute_kept([(i, rows[i], "") for i in first.values()])
+    assert sorted(r.doc_id for r in near.collect()) == kept
+    clean = pipeline.drop_leaks(spark, written(near, "brute"), sf_dir)
+    leaks = {d for d, _ in brute_leaks([(i, rows[i]) for i in kept], items)}
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i in kept if i not in leaks]
