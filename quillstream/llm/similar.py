@@ -221,14 +221,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     texts = written(texts, "near_texts")
     tested = docs.sparkSession.createDataFrame([], "a long, b long, near boolean")
     roots = tested.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    spent, rest, last = roots.select("root"), near, tested
+    spent, rest = roots.select("root"), near.select("a", "b", "d", F.col("a").alias("ra"), F.col("b").alias("rb"))
     for _ in range(ROUNDS):
-        # Candidates that are neither tested nor within a component: they get fewer with every round.
-        placed = rest.select("a", "b", "d").join(last.select("a", "b"), ["a", "b"], "left_anti")
-        for s in "ab":
-            placed = placed.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")), s, "left")
-            placed = placed.withColumn(f"r{s}", F.coalesce(f"r{s}", s))
-        rest = written(placed.filter("ra <> rb"), "untested")
         sides = [rest.groupBy(F.col(r).alias("root")).agg(F.min(F.struct("d", "a", "b")).alias("e")) for r in ("ra", "rb")]
         nearest = sides[0].unionByName(sides[1]).groupBy("root").agg(F.min("e").alias("e")).select("root", "e.a", "e.b")
         done = spent.groupBy("root").count().filter(F.col("count") >= TRIALS).select("root")
@@ -239,6 +233,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         tested = tested.unionByName(last)
         spent = spent.unionByName(proposed.join(last.filter("not near"), ["a", "b"]).select("root"))
         roots = connected_components(tested.filter("near"))
+        # Candidates that are neither tested nor within a component: they get fewer with every round.
+        placed = rest.select("a", "b", "d").join(last.select("a", "b"), ["a", "b"], "left_anti")
+        for s in "ab":
+            placed = placed.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")), s, "left")
+            placed = placed.withColumn(f"r{s}", F.coalesce(f"r{s}", s))
+        rest = written(placed.filter("ra <> rb"), "untested")
     else:
         raise RuntimeError(f"near-duplicates didn't settle in {ROUNDS} rounds")
     forget(texts)
