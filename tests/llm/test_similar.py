@@ -90,3 +90,54 @@ def test_rows_without_id_stay(spark, make_docs, odd, empty, sf_dir):
     assert pipeline.drop_near_copies(spark, empty, sf_dir).count() == 0
     kept = [r.doc_id for r in pipeline.drop_near_copies(spark, odd, sf_dir).collect()]
     assert None in kept and sorted(k for k in kept if k is not None) == [1, 4, 5, 6, 6, 7]
+
+
+def test_a_group_of_many_similarities_is_exact(spark, make_docs, sf_dir):
+    """Near copies of one text at similarity 0.2 to 0.9: more than meet at an anchor, and in more than one block."""
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(9000)}" for _ in range(120)]
+    rows = [(i, edited([w if k else f"{w}x{i}" for k, w in enumerate(words)], set(rng.sample(range(120), rng.randrange(1, 14)))).replace("new", f"n{i % 97}e"), "en") for i in range(700)]
+    kept = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, make_docs(rows), sf_dir).collect())
+    want = brute_kept(rows)
+    assert 20 < len(want) < 680
+    assert kept == want
+
+
+def test_an_anchor_drops_no_candidate():
+    """Two tight groups, farther from each other than each node from its nearest, share an anchor."""
+    import numpy as np
+    import pandas as pd
+
+    near = np.uint64((1 << 18) - 1)
+    for n in (20, 200, 9000):
+        piece = np.array([(near if i % 2 else np.uint64(0)) ^ np.uint64(1 << (20 + i % 40)) for i in range(n)], np.uint64).view(np.int64)
+        rows = pd.DataFrame({"anchor": np.zeros(n, np.int64), "node": np.arange(n), "piece": piece})
+        for size in (1 << 16, 100):
+            similar_chunk, similar.CHUNK = similar.CHUNK, max(size, 100)
+            try:
+                if n > size and n <= similar.CROWD:
+                    continue
+                met = pd.concat(similar._pairs(iter([rows])))
+            finally:
+                similar.CHUNK = similar_chunk
+            node, root = similar.joined(met["a"].to_numpy(np.int64), met["b"].to_numpy(np.int64))
+            assert len(node) == n - 1 and set(root) == {0}
+
+
+def test_products_of_incidence_matrices_are_exact(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, 60, np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(60) > rng.random() * 0.3], rng.integers(0, 1 << 64, rng.integers(0, 9), np.uint64)]) for _ in range(90)]
+    want = {(i, j) for i in range(40) for j in range(40, 90) if similar.similar(sets[i], sets[j])}
+    monkeypatch.setattr(similar, "COLUMNS", 16)
+    a, b = similar._alike(sets[:40], sets[40:])
+    assert set(zip(a.tolist(), (b + 40).tolist(), strict=True)) == want and 0 < len(want) < 2000
+    monkeypatch.setattr(similar, "TILE", 7)
+    for other in (40, 90):
+        pairs = want if other == 40 else {(i, j) for i in range(90) for j in range(i + 1, 90) if similar.similar(sets[i], sets[j])}
+        own = np.arange(90) + 1000
+        got = dict(zip(*(x.tolist() for x in similar._forest(own, sets, other)), strict=True))
+        full = dict(zip(*(x.tolist() for x in similar.joined(*(np.array(x) + 1000 for x in zip(*pairs, strict=True)))), strict=True))
+        assert got == full
