@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,43 +18,104 @@ STOP = (
     "its their our your we they he she which who what when where how not no used using use same must should can could would may might will "
     "shall each all both only also some other such have has had do does did"
 ).split()
+#: Texts whose terms are handed on at once.
+TEXTS = 256
+#: Up to so many repeated keys are broadcast; beyond it the texts are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+_CUT = re.compile(r"(?<![A-Za-z])-|-(?![A-Za-z])|[^A-Za-z \t-]")
+_STOPPED = frozenset(STOP)
+
+
+def counted_terms(text: str | None, longest: int = 4) -> dict[str, list]:
+    """By lower-cased n-gram: count and the spelling first seen, in the order of the text."""
+    out: dict[str, list] = {}
+    # Anything but letters, inner hyphens and blanks ends a run, as stop words do.
+    for run in _CUT.sub("\n", text or "").split("\n"):
+        words = run.split()
+        low, start = [w.lower() for w in words], 0
+        for end in [*(i for i, w in enumerate(low) if w in _STOPPED), len(low)]:
+            for i in range(start, end):
+                k = w = ""
+                for j in range(i, min(i + longest, end)):
+                    if j > i:
+                        k, w = f"{k} {low[j]}", f"{w} {words[j]}"
+                    else:
+                        k, w = low[j], words[j]
+                        if len(w) < 4 and w.upper() != w:
+                            continue
+                    if k in out:
+                        out[k][0] += 1
+                    else:
+                        out[k] = [1, w]
+            start = end + 1
+    return out
+
+
+def best_terms(found: dict[str, list], limit: int) -> list[str]:
+    """The keys of the first ``limit`` terms: repeated ones, then of several words, then by count, words and name."""
+    size = lambda k: k.count(" ") + 1
+    out = sorted((k for k, x in found.items() if x[0] > 1), key=lambda k: (" " not in k, -found[k][0], -size(k), k))
+    if len(out) < limit:
+        # Of those seen once, the ones of most words come first.
+        once: dict[int, list[str]] = {}
+        for k, x in found.items():
+            if x[0] == 1:
+                once.setdefault(size(k), []).append(k)
+        for n in sorted(once, reverse=True):
+            out += sorted(once[n])
+            if len(out) >= limit:
+                break
+    return out[:limit]
 
 
 def candidates(df: DataFrame, key: str, text: str, limit: int = 100, longest: int = 4) -> DataFrame:
     """key, rank, term, n: the best n-grams of each text that no stop word or punctuation breaks.
 
     Order: repeated ones, then of several words, then by count, words and name. Spelling as
-    first seen. All windows are within a text.
+    first seen. All windows are within a text, and one pass over it gives its terms where it is; counts of texts
+    whose key repeats, null keys too, are added up.
     """
-    # Anything but letters, inner hyphens and blanks ends a run.
-    cut = F.regexp_replace(F.col(text), r"(?<![A-Za-z])-|-(?![A-Za-z])|[^A-Za-z \t-]", "\n")
-    runs = df.select(key, F.posexplode(F.split(cut, "\n")).alias("run", "t"))
-    words = runs.select(key, "run", F.posexplode(F.regexp_extract_all("t", F.lit(r"[A-Za-z]+(?:-[A-Za-z]+)*"), F.lit(0))).alias("pos", "w"))
-    stop = F.lower("w").isin(STOP)
-    island = F.count_if(stop).over(Window.partitionBy(key, "run").orderBy("pos"))
-    kept = words.withColumn("island", island).filter(~stop)
-    w = Window.partitionBy(key, "run", "island").orderBy("pos")
-    kept = kept.withColumns({f"w{k}": F.lead("w", k).over(w) for k in range(1, longest)})
-    ahead = [F.col("w"), *(F.col(f"w{k}") for k in range(1, longest))]
-    grams = F.filter(
-        F.array(*(F.struct(F.lit(n).alias("words"), _phrase(ahead[:n]).alias("term")) for n in range(1, longest + 1))),
-        lambda g: g["term"].isNotNull(),
-    )
-    terms = kept.select(key, "run", "pos", F.explode(grams).alias("g")).select(key, "run", "pos", "g.*")
-    short = (F.col("words") == 1) & (F.length("term") < 4) & (F.upper("term") != F.col("term"))
-    counted = terms.filter(~short).groupBy(key, F.lower("term").alias("k")).agg(
-        F.count("*").alias("n"), F.max("words").alias("words"), F.min_by("term", F.struct("run", "pos")).alias("term")
-    )
-    order = [F.desc(F.col("n") > 1), F.desc(F.col("words") > 1), F.desc("n"), F.desc("words"), "k"]
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= limit).select(key, "rank", "term", "n")
-
-
-def _phrase(words: list[Column]) -> Column:
-    out = words[0]
-    for w in words[1:]:
-        out = F.concat(out, F.lit(" "), w)
-    return out
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    repeated = rows.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("key").alias("again"))
+    same = F.col("key").eqNullSafe(F.col("again"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, len(b), TEXTS):
+                at, rank, term, n = [], [], [], []
+                for i, t in enumerate(b.column("text").slice(start, TEXTS).to_pylist()):
+                    found = counted_terms(t, longest)
+                    best = best_terms(found, limit)
+                    at += [start + i] * len(best)
+                    rank += range(1, len(best) + 1)
+                    term += [found[k][1] for k in best]
+                    n += [found[k][0] for k in best]
+                columns = [b.column("key").take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(term, pa.string()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "rank", "term", "n"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column("text").to_pylist()):
+                found = counted_terms(t, longest)
+                columns = [b.column("key").take(pa.array([i] * len(found), pa.int64())), pa.array(found, pa.string())]
+                columns += [pa.array([x[0] for x in found.values()], pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([x[1] for x in found.values()], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "k", "n", "pos", "term"])
+
+    first = f"key {kind}, rank int, term string, n long"
+    few = repeated.limit(BROADCAST_KEYS + 1).count()
+    if not few:
+        return rows.mapInArrow(of_text, first).withColumnRenamed("key", key)
+    repeated = F.broadcast(repeated) if few <= BROADCAST_KEYS else repeated
+    own = rows.join(repeated, same, "left_anti").mapInArrow(of_text, first)
+    counted = rows.join(repeated, same, "left_semi").mapInArrow(parts, f"key {kind}, k string, n long, pos long, term string")
+    counted = counted.groupBy("key", "k").agg(F.sum("n").alias("n"), F.min_by("term", F.struct("pos", "term")).alias("term"))
+    words = F.size(F.split("k", " "))
+    order = [F.desc(F.col("n") > 1), F.desc(words > 1), F.desc("n"), F.desc(words), "k"]
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("rank") <= limit)
+    return own.unionByName(ranked.select("key", "rank", "term", "n")).withColumnRenamed("key", key)
 
 
 def longest_matches(df: DataFrame, glossary: DataFrame, key: str, text: str) -> DataFrame:

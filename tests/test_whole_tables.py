@@ -33,3 +33,27 @@ def test_acronyms_of_the_corpus_have_ascii_boundaries(spark, tmp_path):
     oracle = duckdb.connect()
     oracle.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == oracle.execute(registry.ORACLES["g4_acronym_guide"]).fetchall() == [("ON", 3), ("HIT", 2), ("VO2", 2)]
+
+
+def test_term_candidates_are_made_where_the_texts_are(spark, tmp_path):
+    """As the SQL has them, hyphens, stop words and short words too; no row of a word or an n-gram is dealt out."""
+    odd = "VO2-max -Deep  learning-based a--b IT it It\tIT of deep Learning-Based\nmodel; Deep learning-based Été naïve x-y- net NET the"
+    rows = [(i, f"{odd} {' '.join(f'term{chr(97 + (i * k) % 26)} word' for k in range(90))}", "en") for i in range(40)] + [(50, None, "en"), (51, "", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES["d23_term_candidates"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.select("doc_id", "rank", "term", "n").collect())
+    oracle = duckdb.connect()
+    oracle.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(oracle.execute(registry.ORACLES["d23_term_candidates"]).fetchall())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
+def test_term_candidates_of_repeated_keys(spark):
+    from quillstream.operators import terms
+
+    rows = [(1, "deep net"), (1, "Deep net"), (None, "alpha beta"), (None, "alpha"), (2, "alpha beta")]
+    got = sorted(map(tuple, terms.candidates(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()), key=repr)
+    assert [r for r in got if r[0] == 1] == [(1, 1, "Deep net", 2), (1, 2, "Deep", 2)]
+    assert [r[1:] for r in got if r[0] is None] == [(1, "alpha", 2), (2, "alpha beta", 1), (3, "beta", 1)]
+    assert [r[1:] for r in got if r[0] == 2] == [(1, "alpha beta", 1), (2, "alpha", 1), (3, "beta", 1)]
